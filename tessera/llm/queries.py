@@ -2,17 +2,36 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
+from .decontaminate import scan_documents
 from .jaccard_join import JaccardJoin
+from .packing import pack
 
 
 def _read(spark, sf_dir, name):
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _tokenizer() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op4_benchmark_decontamination(spark, sf_dir):
+    found = scan_documents(spark, _read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join(F.array_sort("items"), ","), 256).alias("items_sha256"), "contaminated")
+
+
 def op5_ngram_jaccard_join(spark, sf_dir):
     return JaccardJoin(spark, width=4, percent=85).components(_read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op5_ngram_jaccard_join,)}
+def op9_packing(spark, sf_dir):
+    return pack(_read(spark, sf_dir, "documents"), _tokenizer())
+
+
+QUERIES = {f.__name__: f for f in (op4_benchmark_decontamination, op5_ngram_jaccard_join, op9_packing)}
 
 ORACLES: dict[str, str] = {}
