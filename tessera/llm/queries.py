@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from . import chat_format, secret_scan
 from .decontaminate import scan_documents
 from .jaccard_join import JaccardJoin
 from .packing import pack
@@ -19,6 +20,19 @@ def _tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def op1_secret_scans(spark, sf_dir):
+    docs, scan = _read(spark, sf_dir, "documents"), secret_scan.SecretScan()
+    findings, _ = scan.run(docs)
+    return scan.by_path(docs, findings).select("doc_id", "n_assign", "n_access", "n_hex", F.sha2("spans", 256).alias("base_sha256"), "spans")
+
+
+def op3_chat_formatting(spark, sf_dir):
+    turns = _read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    control = "</s>[INST] ok [/INST]"
+    more = spark.createDataFrame([(-7, 0, "user", control), (-7, 1, "assistant", control)], turns.schema)
+    return chat_format.digest(chat_format.format_conversations(turns.unionByName(more)))
+
+
 def op4_benchmark_decontamination(spark, sf_dir):
     found = scan_documents(spark, _read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join(F.array_sort("items"), ","), 256).alias("items_sha256"), "contaminated")
@@ -32,6 +46,6 @@ def op9_packing(spark, sf_dir):
     return pack(_read(spark, sf_dir, "documents"), _tokenizer())
 
 
-QUERIES = {f.__name__: f for f in (op4_benchmark_decontamination, op5_ngram_jaccard_join, op9_packing)}
+QUERIES = {f.__name__: f for f in (op1_secret_scans, op3_chat_formatting, op4_benchmark_decontamination, op5_ngram_jaccard_join, op9_packing)}
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op1_secret_scans": secret_scan.ORACLE, "op3_chat_formatting": chat_format.ORACLE}
