@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import chat_format, secret_scan
+from . import chat_format, quality_rules, secret_scan
 from .decontaminate import scan_documents
 from .jaccard_join import JaccardJoin
 from .packing import pack
@@ -26,6 +26,11 @@ def op1_secret_scans(spark, sf_dir):
     return scan.by_path(docs, findings).select("doc_id", "n_assign", "n_access", "n_hex", F.sha2("spans", 256).alias("base_sha256"), "spans")
 
 
+def op2_quality_rules(spark, sf_dir):
+    judged = quality_rules.judge(spark, _read(spark, sf_dir, "documents"))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "distance")
+
+
 def op3_chat_formatting(spark, sf_dir):
     turns = _read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     control = "</s>[INST] ok [/INST]"
@@ -46,6 +51,6 @@ def op9_packing(spark, sf_dir):
     return pack(_read(spark, sf_dir, "documents"), _tokenizer())
 
 
-QUERIES = {f.__name__: f for f in (op1_secret_scans, op3_chat_formatting, op4_benchmark_decontamination, op5_ngram_jaccard_join, op9_packing)}
+QUERIES = {f.__name__: f for f in (op1_secret_scans, op2_quality_rules, op3_chat_formatting, op4_benchmark_decontamination, op5_ngram_jaccard_join, op9_packing)}
 
 ORACLES: dict[str, str] = {"op1_secret_scans": secret_scan.ORACLE, "op3_chat_formatting": chat_format.ORACLE}

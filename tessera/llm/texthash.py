@@ -55,8 +55,8 @@ def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[off[0] : off[-1]], off - off[0]
 
 
-def word_hashes(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all words of all texts, ASCII letters lower-cased, and for each text the index of its first word (one more entry at the end)."""
+def word_hashes(raw: np.ndarray, off: np.ndarray, fold: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all words of all texts, ASCII letters lower-cased if fold, and for each text the index of its first word (one more entry at the end)."""
     first = np.zeros(len(raw) + 1, bool)
     first[off] = True
     hashes, begins = [], []
@@ -70,7 +70,7 @@ def word_hashes(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarra
                     to += int(stop.argmax())
                     break
                 to = min(to + 65536, len(raw))
-            b = LOWER[raw[at:to]]
+            b = LOWER[raw[at:to]] if fold else raw[at:to]
             inside = ~SEPARATOR[b]
             begin = inside.copy()
             begin[1:] &= ~inside[:-1] | first[at + 1 : to]
