@@ -9,12 +9,15 @@ threshold. Steps, none of which puts all the rows of a key into one task or emit
    is frequent within one chunk of documents sends a count only; its incidences bypass the owner.
 2. A class keeps its shared shingles in order of (frequency, hash), one order for all. A class with fewer shared shingles
    than the overlap that the threshold asks for has no partner.
-3. For each l the prefix of n - alpha + l shingles must hold l shared ones of any partner (alpha: least overlap). Each
-   class takes the l of least estimated cost: frequencies scanned plus verifications, the latter at most
-   sum(frequency - 1) / l. A pair needs min(l, l') common prefix shingles before verification.
-4. In each bucket of a prefix shingle the members are first compared with one hub only; verified links contract the
-   buckets. That repeats while the pairs left across components exceed a multiple of the rows. Then all of
-   the pairs left across components are counted, filtered and verified, so that no link that joins components is lost.
+3. A pair links when twice its overlap, times 100 + percent, reaches G + G' (see _level). The smaller of the two needs a
+   short prefix, the larger a long one. With l - 1 shingles more in both, a pair must share l of them. Each class takes the l
+   of least estimated cost: frequencies scanned plus verifications, the latter at most sum(frequency - 1) / l; a pair
+   needs min(l, l') common prefix shingles before verification.
+4. Prefix shingles that few classes share give pairs at once. In a bucket of more than BUCKET classes, each is instead
+   described by its difference from one hub of the bucket, and the differences are joined by the same rule one level on: the
+   symmetric difference of two classes is that of their differences. What the copies of a group have in common is gone from
+   the differences, so that groups of thousands need no pair for each two members; members so close to the hub that they must
+   link with its nearest member are linked with that one only. No link is lost that joins components.
 
 Hashes: shingles 64 bits in a set's size, 48 bits in frequencies and overlaps; classes 63 bits.
 """
@@ -34,13 +37,14 @@ from .scratch import Scratch
 
 #: Shingles of one chunk of documents, and the frequency within it from which a shingle sends a count only.
 CHUNK, HOT = 2_000_000, 64
-MAX_MULTI, VERIFY_COST = 6, 4
-#: While more pairs than this many times the rows are left across components, buckets are compared with hubs.
-SLACK, STAR_ROUNDS = 4, 6
+MAX_MULTI, VERIFY_COST = 6, 2
+#: Classes of a bucket whose pairs are listed; larger buckets get a hub, at the last level none.
+BUCKET, LEVELS = 32, 5
 
 INC, DOC, HOT_DF, HOT_INC = 1, 2, 3, 4
-_MAP = "r int, kind int, a long, b long, c int, blob binary"
-_OUT = "a long, b long, c int, kind int"
+_MAP = "r int, kind int, a long, b long, c int, blob binary, many array<long>"
+_OUT = "a long, b long, c int, many array<long>, kind int"
+_MANY = pa.list_(pa.int64())
 
 
 def encode(tokens: np.ndarray, owners: np.ndarray, classes: np.ndarray) -> bytes:
@@ -90,21 +94,21 @@ def _mapper(width: int, ranges: int):
                 hot = count >= HOT
                 if hot.any():
                     marks = np.repeat(hot, count)
-                    t, o = tokens[marks], owners[marks]
-                    salt = (t + o.astype(np.uint64) * np.uint64(40503)) % np.uint64(ranges)
-                    rows.append((salt.astype(np.int32), HOT_INC, t.astype(np.int64), classes[o], np.zeros(len(t), np.int32)))
                     t, c = tokens[begin[hot]], count[hot]
-                    rows.append(((t * np.uint64(ranges) >> np.uint64(48)).astype(np.int32), HOT_DF, t.astype(np.int64), np.zeros(len(t), np.int64), c.astype(np.int32)))
+                    many = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(c)]), pa.int32()), pa.array(classes[owners[marks]]))
+                    salt = texthash.mix(t + np.uint64(int(classes[0]) & 0xFFFFFF)) % np.uint64(ranges)
+                    rows.append((salt.astype(np.int32), HOT_INC, t.astype(np.int64), np.zeros(len(t), np.int64), c.astype(np.int32), many))
+                    rows.append(((t * np.uint64(ranges) >> np.uint64(48)).astype(np.int32), HOT_DF, t.astype(np.int64), np.zeros(len(t), np.int64), c.astype(np.int32), pa.nulls(len(t), _MANY)))
                     tokens, owners = tokens[~marks], owners[~marks]
-            for r, kind, a, b, c in rows:
-                yield pa.record_batch({"r": r, "kind": np.full(len(r), kind, np.int32), "a": a, "b": b, "c": c, "blob": pa.nulls(len(r), pa.binary())})
+            for r, kind, a, b, c, many in rows:
+                yield pa.record_batch({"r": r, "kind": np.full(len(r), kind, np.int32), "a": a, "b": b, "c": c, "blob": pa.nulls(len(r), pa.binary()), "many": many})
             owner = (tokens * np.uint64(ranges) >> np.uint64(48)).astype(np.int64)
             edge = np.searchsorted(owner, np.arange(ranges + 1))
             full = np.flatnonzero(np.diff(edge))
             blobs = [encode(tokens[edge[r] : edge[r + 1]], owners[edge[r] : edge[r + 1]], classes) for r in full]
             if blobs:
                 nothing = np.zeros(len(full), np.int64)
-                yield pa.record_batch({"r": full.astype(np.int32), "kind": np.zeros(len(full), np.int32), "a": nothing, "b": nothing, "c": nothing.astype(np.int32), "blob": pa.array(blobs, pa.binary())})
+                yield pa.record_batch({"r": full.astype(np.int32), "kind": np.zeros(len(full), np.int32), "a": nothing, "b": nothing, "c": nothing.astype(np.int32), "blob": pa.array(blobs, pa.binary()), "many": pa.nulls(len(full), _MANY)})
 
         for batch in batches:
             ids, cls, size = batch.column(0), [], []
@@ -120,7 +124,7 @@ def _mapper(width: int, ranges: int):
                         yield from flush()
             n = len(cls)
             turn += n
-            yield pa.record_batch({"r": ((np.arange(n) + turn) % ranges).astype(np.int32), "kind": np.full(n, DOC, np.int32), "a": ids.cast(pa.int64()), "b": np.array(cls, np.int64), "c": np.array(size, np.int32), "blob": pa.nulls(n, pa.binary())})
+            yield pa.record_batch({"r": ((np.arange(n) + turn) % ranges).astype(np.int32), "kind": np.full(n, DOC, np.int32), "a": ids.cast(pa.int64()), "b": np.array(cls, np.int64), "c": np.array(size, np.int32), "blob": pa.nulls(n, pa.binary()), "many": pa.nulls(n, _MANY)})
         yield from flush()
 
     return run
@@ -133,7 +137,7 @@ def _owner(batches):
         kind = batch.column(1).to_numpy()
         passed = batch.filter(pa.array((kind == DOC) | (kind == HOT_INC)))
         if passed.num_rows:
-            yield pa.record_batch({"a": passed.column(2), "b": passed.column(3), "c": passed.column(4), "kind": passed.column(1)})
+            yield pa.record_batch({"a": passed.column(2), "b": passed.column(3), "c": passed.column(4), "many": passed.column(6), "kind": passed.column(1)})
         for t, c in zip(*(batch.filter(pa.array(kind == HOT_DF)).column(k).to_pylist() for k in (2, 4))):
             hot[t] = hot.get(t, 0) + c
         for blob in batch.filter(pa.array(kind == 0)).column(5):
@@ -165,10 +169,10 @@ def _owner(batches):
     t, c, df = t[keep], c[keep], df[keep]
     for k in range(0, len(t), 100_000):
         part = slice(k, k + 100_000)
-        yield pa.record_batch({"a": t[part], "b": c[part], "c": df[part].astype(np.int32), "kind": np.full(len(t[part]), INC, np.int32)})
+        yield pa.record_batch({"a": t[part], "b": c[part], "c": df[part].astype(np.int32), "many": pa.nulls(len(t[part]), _MANY), "kind": np.full(len(t[part]), INC, np.int32)})
     if hot:
         own = dict(zip(found.tolist(), count.tolist()))
-        yield pa.record_batch({"a": np.fromiter(hot, np.int64, len(hot)), "b": np.zeros(len(hot), np.int64), "c": np.array([n + own.get(x, 0) for x, n in hot.items()], np.int32), "kind": np.full(len(hot), HOT_DF, np.int32)})
+        yield pa.record_batch({"a": np.fromiter(hot, np.int64, len(hot)), "b": np.zeros(len(hot), np.int64), "c": np.array([n + own.get(x, 0) for x, n in hot.items()], np.int32), "many": pa.nulls(len(hot), _MANY), "kind": np.full(len(hot), HOT_DF, np.int32)})
 
 
 def _alpha(n, percent: int):
@@ -192,72 +196,91 @@ class JaccardJoin:
     def _shared_sets(self, found: DataFrame, classes: DataFrame) -> DataFrame:
         """(cls, n, s, tok: shared shingles in the common order) of the classes that can have partners."""
         frequent = found.where(f"kind = {HOT_DF}").select("a", F.col("c").alias("df"))
-        direct = found.where(f"kind = {HOT_INC}").select("a", "b").join(frequent, "a").select("a", "b", "df")
+        direct = found.where(f"kind = {HOT_INC}").select("a", "many").join(frequent, "a").select("a", F.explode("many").alias("b"), "df")
         all_rows = found.where(f"kind = {INC}").select("a", "b", F.col("c").alias("df")).unionByName(direct)
-        sets = all_rows.groupBy(F.col("b").alias("cls")).agg(F.sort_array(F.collect_set(F.struct("df", F.col("a").alias("t")))).alias("tok"))
+        sets = all_rows.groupBy(F.col("b").alias("cls")).agg(F.sort_array(F.collect_set(F.struct(F.col("df").cast("int").alias("df"), F.col("a").alias("t")))).alias("tok"))
         sets = sets.withColumn("s", F.size("tok")).join(classes.select("cls", "n"), "cls")
         return sets.where(F.col("s") >= _alpha(F.col("n"), self.percent))
 
-    def _prefixes(self, sets: DataFrame) -> DataFrame:
-        """(t, cls, n, l): a row for each shared shingle in the chosen prefix."""
-        base = F.col("s") - _alpha(F.col("n"), self.percent)
+    def _level(self, state: DataFrame, last: bool) -> tuple[DataFrame, DataFrame | None]:
+        """state: (h, c, n, f, g, u, d), class c as its difference D from hub h. d: D's elements that others of h share, as
+        (frequency, element), in that order; u: how many it has besides. With w = 100 + percent, s shared shingles and n all:
+        f = w s - 2 percent n, g = w |D| - f. Then c and c' link iff 2 w |D & D'| >= g + g'.
+
+        Returns links (u, v) and the (h, c) of the next level."""
+        w, keep = 100 + self.percent, self.scratch.keep
+        # A partner has at most n * 100 / percent shingles, so its f is at most this.
+        partner_f = F.col("n") * F.lit((100 - self.percent) * 100.0 / self.percent)
+        size = F.size("d")
+        short = F.when(F.col("g") <= 0, size).otherwise(F.floor(F.col("f") / w).cast("int") + 1 - F.col("u"))
+        long = F.floor((F.col("f") + partner_f) / w).cast("int") + 1 - F.col("u")
+        most = F.greatest(F.lit(1), F.ceil((F.col("g") - partner_f) / w).cast("int"))
+        state = state.withColumns({"short": short, "long": F.greatest(short, long), "most": most}).where("long + most > 0")
 
         def cost(k: int):
-            head = F.slice("df", F.lit(1), base + k)
-            scanned = F.aggregate(head, F.lit(0).cast("double"), lambda acc, x: acc + x)
-            return F.when(F.lit(k) <= _alpha(F.col("n"), self.percent), F.struct((scanned + VERIFY_COST * (scanned - F.size(head)) / k).alias("cost"), F.lit(k).alias("l")))
-
-        chosen = sets.withColumn("df", F.col("tok.df")).withColumn("best", F.array_min(F.array_compact(F.array(*[cost(k) for k in range(1, MAX_MULTI + 1)])))["l"])
-        return chosen.select("cls", "n", F.col("best").alias("l"), F.explode(F.slice("tok.t", F.lit(1), base + F.col("best"))).alias("t"))
-
-    def _verify(self, pairs: DataFrame, sets: DataFrame) -> DataFrame:
-        """pairs (u, v) -> those at the threshold. v's set travels once to u's."""
-        one = sets.select(F.col("cls").alias("v"), F.col("n").alias("nv"), F.col("tok.t").alias("tv"))
-        other = sets.select(F.col("cls").alias("u"), F.col("n").alias("nu"), F.col("tok.t").alias("tu"))
-        both = pairs.join(one, "v").join(other, "u").withColumn("i", F.size(F.array_intersect("tu", "tv")))
-        return both.where(F.col("i") * 100 >= F.lit(self.percent) * (F.col("nu") + F.col("nv") - F.col("i"))).select("u", "v")
+            head = F.slice("d", F.lit(1), F.greatest(F.lit(0), F.least(size, F.col("long") + (k - 1))))
+            scanned = F.aggregate(head, F.lit(0).cast("double"), lambda acc, x: acc + x["df"])
+            return F.when(F.lit(k) <= F.col("most"), F.struct((scanned + VERIFY_COST * (scanned - F.size(head)) / k).alias("cost"), F.lit(k).alias("l")))
+
+        chosen = state.withColumn("l", F.array_min(F.array_compact(F.array(*[cost(k) for k in range(1, MAX_MULTI + 1)])))["l"])
+        head = F.slice("d", F.lit(1), F.greatest(F.lit(0), F.least(size, F.col("long") + F.col("l") - 1)))
+        rows = chosen.select("h", "c", "n", "g", "l", (F.col("short") + F.col("l") - 1).alias("short"), F.posexplode(head).alias("at", "x"))
+        rows = keep(rows.select("h", F.col("x.t").alias("t"), "c", "n", "g", "l", (F.col("at") < F.col("short")).alias("short")), "prefixes")
+        buckets = rows.groupBy("h", "t").agg(F.count("*").alias("k"), F.min(F.struct(F.xxhash64("c").alias("o"), "c")).alias("hub")).where("k > 1")
+        buckets = keep(buckets.select("h", "t", "k", F.col("hub.c").alias("hub")), "buckets")
+
+        listed = buckets.select("h", "t") if last else buckets.where(F.col("k") <= BUCKET).select("h", "t")
+        own = rows.join(listed, ["h", "t"])
+        a, b = (own.select("h", "t", *(F.col(x).alias(x + s) for x in ("c", "n", "g", "l", "short"))) for s in ("1", "2"))
+        before = (F.col("g1") < F.col("g2")) | ((F.col("g1") == F.col("g2")) & (F.col("c1") < F.col("c2")))
+        met = a.where("short1").join(b, ["h", "t"]).where(before & (F.col("g1") + F.col("g2") > 0) & self._size_fits("n1", "n2"))
+        pairs = met.groupBy("h", "c1", "c2").agg(F.count("*").alias("met"), F.first(F.least("l1", "l2")).alias("need"), F.first(F.col("g1") + F.col("g2")).alias("gg")).where("met >= need").select("h", "c1", "c2", "gg")
+        one = state.select("h", F.col("c").alias("c1"), F.col("d.t").alias("d1"))
+        other = state.select("h", F.col("c").alias("c2"), F.col("d.t").alias("d2"))
+        checked = pairs.join(one, ["h", "c1"]).join(other, ["h", "c2"]).where(F.size(F.array_intersect("d1", "d2")) * (2 * w) >= F.col("gg"))
+        links = keep(checked.select(F.col("c1").alias("u"), F.col("c2").alias("v")).distinct(), "links")
+        if last:
+            return links, None
+        large = buckets.where(F.col("k") > BUCKET)
+        following = keep(rows.join(large.select("h", "t", "hub"), ["h", "t"]).select(F.col("hub").alias("h"), "c").distinct(), "hubs")
+        self.scratch.drop(rows)
+        return links, None if following.isEmpty() else following
+
+    def _differences(self, hubs: DataFrame, sets: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """(h, c) -> the state of the next level, and links of the members that must link with the one nearest to the hub."""
+        keep, w = self.scratch.keep, 100 + self.percent
+        tokens = sets.select("c", "n", "f", F.col("d.t").alias("t"))
+        at = hubs.join(tokens, "c").join(tokens.select(F.col("c").alias("h"), F.col("t").alias("th")), "h")
+        diff = at.select("h", "c", "n", "f", F.concat(F.array_except("t", "th"), F.array_except("th", "t")).alias("t"))
+        diff = keep(diff.withColumn("g", w * F.size("t") - F.col("f")), "differences")
+        nearest = diff.groupBy("h").agg(F.min(F.struct("g", "c")).alias("best"))
+        star = diff.select("h", "c", "g").join(nearest, "h").where((F.col("g") + F.col("best.g") <= 0) & (F.col("c") != F.col("best.c"))).select(F.col("best.c").alias("u"), F.col("c").alias("v"))
+        each = diff.select("h", "c", F.explode("t").alias("t"))
+        counted = each.groupBy("h", "t").agg(F.count("*").cast("int").alias("df")).where("df > 1")
+        shared = each.join(counted, ["h", "t"]).groupBy("h", "c").agg(F.sort_array(F.collect_list(F.struct("df", "t"))).alias("d"))
+        state = diff.select("h", "c", "n", "f", "g", F.size("t").alias("all")).join(shared, ["h", "c"])
+        return keep(state.select("h", "c", "n", "f", "g", (F.col("all") - F.size("d")).alias("u"), "d"), "state"), keep(star.distinct(), "links")
 
     def _size_fits(self, a: str, b: str):
         return F.least(a, b) * 100 >= F.lit(self.percent) * F.greatest(a, b)
 
     def class_links(self, found: DataFrame, classes: DataFrame) -> DataFrame:
         """(node, component) over classes that link with another one; component is the least class."""
-        keep = self.scratch.keep
-        sets = keep(self._shared_sets(found, classes), "sets")
-        rows = keep(self._prefixes(sets), "prefixes")
-        edges = []
-        comps = None
-        for turn in range(STAR_ROUNDS + 1):
-            live = rows.withColumn("comp", F.col("cls")) if comps is None else rows.join(comps.withColumnRenamed("node", "cls"), "cls", "left").withColumn("comp", F.coalesce("component", "cls")).drop("component")
-            buckets = live.groupBy("t", "comp").agg(F.count("*").alias("m"), F.min(F.struct(F.xxhash64("cls", F.lit(turn)).alias("o"), "cls", "n", "comp")).alias("hub"))
-            buckets = buckets.groupBy("t").agg(F.sum("m").alias("k"), F.sum(F.col("m") * F.col("m")).alias("kk"), F.count("*").alias("c"), F.min("hub").alias("hub")).where("c > 1")
-            buckets = keep(buckets, "buckets")
-            left, size = buckets.agg(F.coalesce(F.sum((F.col("k") * F.col("k") - F.col("kk")) / 2), F.lit(0.0)), F.coalesce(F.sum("k"), F.lit(0))).first()
-            if left == 0:
-                break
-            last = left <= SLACK * size or turn == STAR_ROUNDS
-            if last:
-                live = live.join(buckets.select("t"), "t", "left_semi")
-                a, b = (live.select("t", *(F.col(c).alias(c + x) for c in ("cls", "n", "l", "comp"))) for x in ("1", "2"))
-                met = a.join(b, "t").where((F.col("cls1") < F.col("cls2")) & (F.col("comp1") != F.col("comp2")) & self._size_fits("n1", "n2"))
-                pairs = met.groupBy(F.col("cls2").alias("v"), F.col("cls1").alias("u")).agg(F.count("*").alias("met"), F.first(F.least("l1", "l2")).alias("need")).where("met >= need").select("u", "v")
-            else:
-                hubs = buckets.select("t", F.col("hub.cls").alias("u"), F.col("hub.n").alias("nu"), F.col("hub.comp").alias("cu"))
-                pairs = live.join(hubs, "t").where((F.col("comp") != F.col("cu")) & self._size_fits("n", "nu")).select("u", F.col("cls").alias("v")).distinct()
-            linked = keep(self._verify(pairs, sets), "links")
-            self.scratch.drop(buckets)
-            edges.append(linked)
-            if linked.isEmpty():
-                if last:
-                    break
-                continue
-            grown = edges[-1] if comps is None else edges[-1].unionByName(comps.where("node <> component").select(F.col("node").alias("u"), F.col("component").alias("v")))
-            comps = connected_components(grown, self.scratch)
-            if last:
+        w = 100 + self.percent
+        sets = self._shared_sets(found, classes).withColumn("f", w * F.col("s") - 2 * self.percent * F.col("n"))
+        sets = self.scratch.keep(sets.select(F.lit(0).cast("long").alias("h"), F.col("cls").alias("c"), "n", "f", (w * F.col("s") - F.col("f")).alias("g"), F.lit(0).alias("u"), F.col("tok").alias("d")), "sets")
+        state, edges = sets, []
+        for level in range(LEVELS):
+            links, hubs = self._level(state, level == LEVELS - 1)
+            edges.append(links)
+            if hubs is None:
                 break
-        if comps is None:
-            return self.spark.createDataFrame([], "node long, component long")
-        return comps
+            state, star = self._differences(hubs, sets)
+            edges.append(star)
+        every = edges[0]
+        for e in edges[1:]:
+            every = every.unionByName(e)
+        return connected_components(every, self.scratch)
 
     def components(self, docs: DataFrame) -> DataFrame:
         """(doc_id, n_shingles, component_id): component_id is the smallest id reachable by links, the row's own included.
