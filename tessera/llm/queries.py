@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import chat_format, quality_rules, secret_scan
+from . import chat_format, pii, quality_rules, secret_scan
 from .decontaminate import scan_documents
 from .jaccard_join import JaccardJoin
 from .packing import pack
@@ -47,10 +47,17 @@ def op5_ngram_jaccard_join(spark, sf_dir):
     return JaccardJoin(spark, width=4, percent=85).components(_read(spark, sf_dir, "documents"))
 
 
+def op7_pii(spark, sf_dir):
+    found = pii.detect(_read(spark, sf_dir, "documents"))
+    joined = lambda c: F.array_join(F.transform(c, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+    counts = [F.size(F.filter("base", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in pii.KINDS]
+    return found.select("doc_id", *counts, F.sha2(joined("base"), 256).alias("base_sha256"), joined("spans").alias("spans"))
+
+
 def op9_packing(spark, sf_dir):
     return pack(_read(spark, sf_dir, "documents"), _tokenizer())
 
 
-QUERIES = {f.__name__: f for f in (op1_secret_scans, op2_quality_rules, op3_chat_formatting, op4_benchmark_decontamination, op5_ngram_jaccard_join, op9_packing)}
+QUERIES = {f.__name__: f for f in (op1_secret_scans, op2_quality_rules, op3_chat_formatting, op4_benchmark_decontamination, op5_ngram_jaccard_join, op7_pii, op9_packing)}
 
 ORACLES: dict[str, str] = {"op1_secret_scans": secret_scan.ORACLE, "op3_chat_formatting": chat_format.ORACLE}
