@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import chat_format, pii, quality_rules, secret_scan
+from . import chat_format, html_extract, language_id, pii, quality_rules, secret_scan
 from .decontaminate import scan_documents
 from .jaccard_join import JaccardJoin
 from .packing import pack
@@ -54,10 +54,25 @@ def op7_pii(spark, sf_dir):
     return found.select("doc_id", *counts, F.sha2(joined("base"), 256).alias("base_sha256"), joined("spans").alias("spans"))
 
 
+def _fold(parts: int):
+    """crc32 of the id as text, modulo parts."""
+    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % parts
+
+
+def op8_language_id(spark, sf_dir):
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = language_id.fit(docs, _fold(4) != 2)
+    return language_id.predict(docs, model).select("doc_id", (F.coalesce(_fold(4), F.lit(-1)) == 2).alias("held_out"), "lang_pred", "score", "distance", "rejected")
+
+
 def op9_packing(spark, sf_dir):
     return pack(_read(spark, sf_dir, "documents"), _tokenizer())
 
 
-QUERIES = {f.__name__: f for f in (op1_secret_scans, op2_quality_rules, op3_chat_formatting, op4_benchmark_decontamination, op5_ngram_jaccard_join, op7_pii, op9_packing)}
+def op10_html_extraction(spark, sf_dir):
+    return html_extract.main_text(_read(spark, sf_dir, "pages"))
+
+
+QUERIES = {f.__name__: f for f in (op1_secret_scans, op2_quality_rules, op3_chat_formatting, op4_benchmark_decontamination, op5_ngram_jaccard_join, op7_pii, op8_language_id, op9_packing, op10_html_extraction)}
 
 ORACLES: dict[str, str] = {"op1_secret_scans": secret_scan.ORACLE, "op3_chat_formatting": chat_format.ORACLE}
