@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import chat_format, html_extract, language_id, pii, quality_rules, secret_scan
+from . import chat_format, html_extract, language_id, line_quality, pii, quality_rules, secret_scan
 from .decontaminate import scan_documents
 from .jaccard_join import JaccardJoin
 from .packing import pack
@@ -47,6 +47,13 @@ def op5_ngram_jaccard_join(spark, sf_dir):
     return JaccardJoin(spark, width=4, percent=85).components(_read(spark, sf_dir, "documents"))
 
 
+def op6_quality_classifier(spark, sf_dir):
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
+    model = line_quality.fit(docs, _read(spark, sf_dir, "labels"), _fold(5) != 0)
+    scored = line_quality.score(docs, model)
+    return scored.select("doc_id", (F.coalesce(_fold(5), F.lit(-1)) == 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def op7_pii(spark, sf_dir):
     found = pii.detect(_read(spark, sf_dir, "documents"))
     joined = lambda c: F.array_join(F.transform(c, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
@@ -73,6 +80,6 @@ def op10_html_extraction(spark, sf_dir):
     return html_extract.main_text(_read(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op1_secret_scans, op2_quality_rules, op3_chat_formatting, op4_benchmark_decontamination, op5_ngram_jaccard_join, op7_pii, op8_language_id, op9_packing, op10_html_extraction)}
+QUERIES = {f.__name__: f for f in (op1_secret_scans, op2_quality_rules, op3_chat_formatting, op4_benchmark_decontamination, op5_ngram_jaccard_join, op6_quality_classifier, op7_pii, op8_language_id, op9_packing, op10_html_extraction)}
 
 ORACLES: dict[str, str] = {"op1_secret_scans": secret_scan.ORACLE, "op3_chat_formatting": chat_format.ORACLE}
