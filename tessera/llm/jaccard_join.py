@@ -38,8 +38,9 @@ from .scratch import Scratch
 #: Shingles of one chunk of documents, and the frequency within it from which a shingle sends a count only.
 CHUNK, HOT = 2_000_000, 64
 MAX_MULTI, VERIFY_COST = 6, 2
-#: Classes of a bucket whose pairs are listed; larger buckets get a hub, at the last level none.
-BUCKET, LEVELS = 32, 5
+#: A bucket in which more classes than this have the shingle in their short prefix gets a hub, except at the last level;
+#: in the others each member meets these few only.
+BUCKET, LEVELS = 32, 3
 
 INC, DOC, HOT_DF, HOT_INC = 1, 2, 3, 4
 _MAP = "r int, kind int, a long, b long, c int, blob binary, many array<long>"
@@ -96,11 +97,12 @@ def _mapper(width: int, ranges: int):
                     marks = np.repeat(hot, count)
                     t, c = tokens[begin[hot]], count[hot]
                     many = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(c)]), pa.int32()), pa.array(classes[owners[marks]]))
-                    salt = texthash.mix(t + np.uint64(int(classes[0]) & 0xFFFFFF)) % np.uint64(ranges)
-                    rows.append((salt.astype(np.int32), HOT_INC, t.astype(np.int64), np.zeros(len(t), np.int64), c.astype(np.int32), many))
+                    rows.append((t, HOT_INC, t.astype(np.int64), np.zeros(len(t), np.int64), c.astype(np.int32), many))
                     rows.append(((t * np.uint64(ranges) >> np.uint64(48)).astype(np.int32), HOT_DF, t.astype(np.int64), np.zeros(len(t), np.int64), c.astype(np.int32), pa.nulls(len(t), _MANY)))
                     tokens, owners = tokens[~marks], owners[~marks]
             for r, kind, a, b, c, many in rows:
+                if kind == HOT_INC:  # dealt in turn, so that no range gets more than its share
+                    r = ((int(classes[0]) + np.arange(len(r))) % ranges).astype(np.int32)
                 yield pa.record_batch({"r": r, "kind": np.full(len(r), kind, np.int32), "a": a, "b": b, "c": c, "blob": pa.nulls(len(r), pa.binary()), "many": many})
             owner = (tokens * np.uint64(ranges) >> np.uint64(48)).astype(np.int64)
             edge = np.searchsorted(owner, np.arange(ranges + 1))
@@ -202,15 +204,18 @@ class JaccardJoin:
         sets = sets.withColumn("s", F.size("tok")).join(classes.select("cls", "n"), "cls")
         return sets.where(F.col("s") >= _alpha(F.col("n"), self.percent))
 
-    def _level(self, state: DataFrame, last: bool) -> tuple[DataFrame, DataFrame | None]:
+    def _level(self, state: DataFrame, comps: DataFrame | None) -> tuple[DataFrame, DataFrame | None]:
         """state: (h, c, n, f, g, u, d), class c as its difference D from hub h. d: D's elements that others of h share, as
         (frequency, element), in that order; u: how many it has besides. With w = 100 + percent, s shared shingles and n all:
         f = w s - 2 percent n, g = w |D| - f. Then c and c' link iff 2 w |D & D'| >= g + g'.
 
-        Returns links (u, v) and the (h, c) of the next level."""
+        Returns links (u, v) and the (h, c) of the next level. With comps, the components found so far, this is the last
+        level: every bucket's pairs are listed, but for those of one component, which can join nothing any more."""
+        last = comps is not None
         w, keep = 100 + self.percent, self.scratch.keep
-        # A partner has at most n * 100 / percent shingles, so its f is at most this.
-        partner_f = F.col("n") * F.lit((100 - self.percent) * 100.0 / self.percent)
+        # A partner is of the same hub and has at most n * 100 / percent shingles, so its f is at most this.
+        state = state.join(state.groupBy("h").agg(F.max("f").alias("top_f")), "h")
+        partner_f = F.least(F.col("top_f").cast("double"), F.col("n") * F.lit((100 - self.percent) * 100.0 / self.percent))
         size = F.size("d")
         short = F.when(F.col("g") <= 0, size).otherwise(F.floor(F.col("f") / w).cast("int") + 1 - F.col("u"))
         long = F.floor((F.col("f") + partner_f) / w).cast("int") + 1 - F.col("u")
@@ -224,16 +229,21 @@ class JaccardJoin:
 
         chosen = state.withColumn("l", F.array_min(F.array_compact(F.array(*[cost(k) for k in range(1, MAX_MULTI + 1)])))["l"])
         head = F.slice("d", F.lit(1), F.greatest(F.lit(0), F.least(size, F.col("long") + F.col("l") - 1)))
-        rows = chosen.select("h", "c", "n", "g", "l", (F.col("short") + F.col("l") - 1).alias("short"), F.posexplode(head).alias("at", "x"))
-        rows = keep(rows.select("h", F.col("x.t").alias("t"), "c", "n", "g", "l", (F.col("at") < F.col("short")).alias("short")), "prefixes")
-        buckets = rows.groupBy("h", "t").agg(F.count("*").alias("k"), F.min(F.struct(F.xxhash64("c").alias("o"), "c")).alias("hub")).where("k > 1")
+        rows = chosen.select("h", "c", "n", "f", "g", "u", "l", (F.col("short") + F.col("l") - 1).alias("short"), F.posexplode(head).alias("at", "x"))
+        rows = keep(rows.select("h", F.col("x.t").alias("t"), "c", "n", "f", "g", "l", (F.col("at") + F.col("u")).alias("at"), (F.col("at") < F.col("short")).alias("short")), "prefixes")
+        buckets = rows.groupBy("h", "t").agg(F.count("*").alias("all"), F.count_if("short").alias("k"), F.min(F.when(F.col("short"), F.struct(F.xxhash64("c").alias("o"), "c"))).alias("hub")).where("all > 1 and k > 0")
         buckets = keep(buckets.select("h", "t", "k", F.col("hub.c").alias("hub")), "buckets")
 
         listed = buckets.select("h", "t") if last else buckets.where(F.col("k") <= BUCKET).select("h", "t")
         own = rows.join(listed, ["h", "t"])
-        a, b = (own.select("h", "t", *(F.col(x).alias(x + s) for x in ("c", "n", "g", "l", "short"))) for s in ("1", "2"))
+        own = own.join(comps.select(F.col("node").alias("c"), "component"), "c", "left").withColumn("comp", F.coalesce("component", "c")) if last else own.withColumn("comp", F.col("c"))
+        a, b = (own.select("h", "t", *(F.col(x).alias(x + s) for x in ("c", "n", "f", "g", "l", "at", "short", "comp"))) for s in ("1", "2"))
         before = (F.col("g1") < F.col("g2")) | ((F.col("g1") == F.col("g2")) & (F.col("c1") < F.col("c2")))
-        met = a.where("short1").join(b, ["h", "t"]).where(before & (F.col("g1") + F.col("g2") > 0) & self._size_fits("n1", "n2"))
+        # With |D| = (f + g) / w, the overlap that this very pair needs bounds the place of a common element in either prefix.
+        half, need = (F.col("f1") + F.col("f2")) / (2 * w), F.least("l1", "l2") - 1
+        skew = (F.col("f1") + F.col("g1") - F.col("f2") - F.col("g2")) / (2 * w)
+        early = (F.col("at1") <= half + skew + need) & (F.col("at2") <= half - skew + need)
+        met = a.where("short1").join(b, ["h", "t"]).where(before & early & (F.col("comp1") != F.col("comp2")) & (F.col("g1") + F.col("g2") > 0) & self._size_fits("n1", "n2"))
         pairs = met.groupBy("h", "c1", "c2").agg(F.count("*").alias("met"), F.first(F.least("l1", "l2")).alias("need"), F.first(F.col("g1") + F.col("g2")).alias("gg")).where("met >= need").select("h", "c1", "c2", "gg")
         one = state.select("h", F.col("c").alias("c1"), F.col("d.t").alias("d1"))
         other = state.select("h", F.col("c").alias("c2"), F.col("d.t").alias("d2"))
@@ -269,18 +279,21 @@ class JaccardJoin:
         w = 100 + self.percent
         sets = self._shared_sets(found, classes).withColumn("f", w * F.col("s") - 2 * self.percent * F.col("n"))
         sets = self.scratch.keep(sets.select(F.lit(0).cast("long").alias("h"), F.col("cls").alias("c"), "n", "f", (w * F.col("s") - F.col("f")).alias("g"), F.lit(0).alias("u"), F.col("tok").alias("d")), "sets")
-        state, edges = sets, []
+        state, edges, comps = sets, None, None
         for level in range(LEVELS):
-            links, hubs = self._level(state, level == LEVELS - 1)
-            edges.append(links)
+            if level == LEVELS - 1:
+                comps = connected_components(edges, self.scratch)
+            links, hubs = self._level(state, comps)
+            edges = links if edges is None else edges.unionByName(links)
             if hubs is None:
                 break
             state, star = self._differences(hubs, sets)
-            edges.append(star)
-        every = edges[0]
-        for e in edges[1:]:
-            every = every.unionByName(e)
-        return connected_components(every, self.scratch)
+            edges = edges.unionByName(star)
+        if comps is None:
+            return connected_components(edges, self.scratch)
+        if links.isEmpty():
+            return comps
+        return connected_components(links.unionByName(comps.where("node <> component").select(F.col("node").alias("u"), F.col("component").alias("v"))), self.scratch)
 
     def components(self, docs: DataFrame) -> DataFrame:
         """(doc_id, n_shingles, component_id): component_id is the smallest id reachable by links, the row's own included.
