@@ -262,6 +262,9 @@ class _Reader:
                         raise PddlError(f"action {a['name']}: negated preconditions with arguments are not supported")
                     else:
                         absent.add(index[head])
+                # Everything is an object; the atom is needed only where nothing else binds the parameter.
+                bound = frozenset().union(frozenset(), *(x.variables for x in atoms if x.pred != type_pred["object"]))
+                atoms = {x for x in atoms if x.pred != type_pred["object"] or not x.variables <= bound}
                 key = lambda x: (x.pred, repr(x.args))
                 actions.append(Action(a["name"], len(place), tuple(sorted(atoms, key=key)), tuple(sorted(absent)), tuple(sorted(comparisons, key=repr)), tuple(sorted(adds, key=key)), tuple(sorted(deletes, key=key)), cost, tuple(fresh.values())))
 
