@@ -35,8 +35,9 @@ from . import texthash
 from .components import connected_components
 from .scratch import Scratch
 
-#: Shingles of one chunk of documents, and the frequency within it from which a shingle sends a count only.
-CHUNK, HOT = 2_000_000, 64
+#: Shingles of one chunk of documents, the frequency within it from which a shingle sends a count only, and the classes that
+#: one row lists for such a shingle.
+CHUNK, HOT, PIECE = 2_000_000, 64, 96
 MAX_MULTI, VERIFY_COST = 6, 2
 #: A bucket in which more classes than this have the shingle in their short prefix gets a hub, except at the last level;
 #: in the others each member meets these few only.
@@ -96,8 +97,12 @@ def _mapper(width: int, ranges: int):
                 if hot.any():
                     marks = np.repeat(hot, count)
                     t, c = tokens[begin[hot]], count[hot]
-                    many = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(c)]), pa.int32()), pa.array(classes[owners[marks]]))
-                    rows.append((t, HOT_INC, t.astype(np.int64), np.zeros(len(t), np.int64), c.astype(np.int32), many))
+                    pieces = -(-c // PIECE)  # equal shares for the ranges, however many classes a shingle has
+                    nth = np.arange(pieces.sum()) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+                    cut = np.append(np.repeat(np.cumsum(c) - c, pieces) + nth * PIECE, c.sum())
+                    many = pa.ListArray.from_arrays(pa.array(cut, pa.int32()), pa.array(classes[owners[marks]]))
+                    of = np.repeat(t, pieces)
+                    rows.append((of, HOT_INC, of.astype(np.int64), np.zeros(len(of), np.int64), np.diff(cut).astype(np.int32), many))
                     rows.append(((t * np.uint64(ranges) >> np.uint64(48)).astype(np.int32), HOT_DF, t.astype(np.int64), np.zeros(len(t), np.int64), c.astype(np.int32), pa.nulls(len(t), _MANY)))
                     tokens, owners = tokens[~marks], owners[~marks]
             for r, kind, a, b, c, many in rows:
@@ -205,8 +210,8 @@ class JaccardJoin:
         return sets.where(F.col("s") >= _alpha(F.col("n"), self.percent))
 
     def _level(self, state: DataFrame, comps: DataFrame | None) -> tuple[DataFrame, DataFrame | None]:
-        """state: (h, c, n, f, g, u, d), class c as its difference D from hub h. d: D's elements that others of h share, as
-        (frequency, element), in that order; u: how many it has besides. With w = 100 + percent, s shared shingles and n all:
+        """state: (h, c, n, f, g, u, d, top_f), class c as its difference D from hub h. d: D's elements that others of h share, as
+        (frequency, element), in that order; u: how many it has besides; top_f: the greatest f of h. With w = 100 + percent, s shared shingles and n all:
         f = w s - 2 percent n, g = w |D| - f. Then c and c' link iff 2 w |D & D'| >= g + g'.
 
         Returns links (u, v) and the (h, c) of the next level. With comps, the components found so far, this is the last
@@ -214,7 +219,6 @@ class JaccardJoin:
         last = comps is not None
         w, keep = 100 + self.percent, self.scratch.keep
         # A partner is of the same hub and has at most n * 100 / percent shingles, so its f is at most this.
-        state = state.join(state.groupBy("h").agg(F.max("f").alias("top_f")), "h")
         partner_f = F.least(F.col("top_f").cast("double"), F.col("n") * F.lit((100 - self.percent) * 100.0 / self.percent))
         size = F.size("d")
         short = F.when(F.col("g") <= 0, size).otherwise(F.floor(F.col("f") / w).cast("int") + 1 - F.col("u"))
@@ -263,13 +267,13 @@ class JaccardJoin:
         at = hubs.join(tokens, "c").join(tokens.select(F.col("c").alias("h"), F.col("t").alias("th")), "h")
         diff = at.select("h", "c", "n", "f", F.concat(F.array_except("t", "th"), F.array_except("th", "t")).alias("t"))
         diff = keep(diff.withColumn("g", w * F.size("t") - F.col("f")), "differences")
-        nearest = diff.groupBy("h").agg(F.min(F.struct("g", "c")).alias("best"))
+        nearest = keep(diff.groupBy("h").agg(F.min(F.struct("g", "c")).alias("best"), F.max("f").alias("top_f")), "nearest")
         star = diff.select("h", "c", "g").join(nearest, "h").where((F.col("g") + F.col("best.g") <= 0) & (F.col("c") != F.col("best.c"))).select(F.col("best.c").alias("u"), F.col("c").alias("v"))
         each = diff.select("h", "c", F.explode("t").alias("t"))
         counted = each.groupBy("h", "t").agg(F.count("*").cast("int").alias("df")).where("df > 1")
         shared = each.join(counted, ["h", "t"]).groupBy("h", "c").agg(F.sort_array(F.collect_list(F.struct("df", "t"))).alias("d"))
-        state = diff.select("h", "c", "n", "f", "g", F.size("t").alias("all")).join(shared, ["h", "c"])
-        return keep(state.select("h", "c", "n", "f", "g", (F.col("all") - F.size("d")).alias("u"), "d"), "state"), keep(star.distinct(), "links")
+        state = diff.select("h", "c", "n", "f", "g", F.size("t").alias("all")).join(shared, ["h", "c"]).join(nearest.select("h", "top_f"), "h")
+        return keep(state.select("h", "c", "n", "f", "g", (F.col("all") - F.size("d")).alias("u"), "d", "top_f"), "state"), keep(star.distinct(), "links")
 
     def _size_fits(self, a: str, b: str):
         return F.least(a, b) * 100 >= F.lit(self.percent) * F.greatest(a, b)
@@ -279,7 +283,8 @@ class JaccardJoin:
         w = 100 + self.percent
         sets = self._shared_sets(found, classes).withColumn("f", w * F.col("s") - 2 * self.percent * F.col("n"))
         sets = self.scratch.keep(sets.select(F.lit(0).cast("long").alias("h"), F.col("cls").alias("c"), "n", "f", (w * F.col("s") - F.col("f")).alias("g"), F.lit(0).alias("u"), F.col("tok").alias("d")), "sets")
-        state, edges, comps = sets, None, None
+        top = sets.agg(F.max("f")).first()[0]
+        state, edges, comps = sets.withColumn("top_f", F.lit(top or 0)), None, None
         for level in range(LEVELS):
             if level == LEVELS - 1:
                 comps = connected_components(edges, self.scratch)
