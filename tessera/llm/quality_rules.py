@@ -1,6 +1,6 @@
 """Quality rules: base rules on word statistics, then robust multivariate outliers.
 
-For each language and source the minimum covariance determinant estimate of location and scatter is found by concentration
+For each language and source (small ones: language, or all rows) the minimum covariance determinant estimate of location and scatter is found by concentration
 steps over all rows that pass the base rules: distances are binned on a fixed logarithmic grid, a grouped sum per bin of
 counts and moments combines before its one shuffle, and the bins nearest the centre up to a share CORE of the rows give the
 next estimate. The start is the coordinates' medians and quartile ranges, from a fixed grid as well. Nothing is sampled and no
@@ -22,6 +22,8 @@ from .scratch import Scratch
 LEAST_WORDS, MOST_REPEATED = 50, 0.5
 #: Share of rows in the core, concentration steps, rows that a group needs for its own estimate.
 CORE, STEPS, LEAST_ROWS = 0.6, 4, 200
+#: Name of the group of all rows; the others are JSON arrays.
+EVERYTHING = "*"
 #: Squared distance from which a vector is rejected; the chi-square quantile at one in 10**9 for six coordinates is 53.
 CUT = 60.0
 #: Words by which each ratio is drawn towards its prior, so that short texts aren't outliers by chance.
@@ -207,8 +209,8 @@ def judge(spark: SparkSession, docs: DataFrame, keys: tuple[str, ...] = ("doc_id
     """keys, the counts, base_failed, kept and distance for every row of docs.
 
     A null text is an empty one and fails the base rules. Null languages or sources form groups of their own. A group of
-    fewer than LEAST_ROWS rows that pass the base rules is judged with the other small groups of its language, and if these are too
-    few with all that are left; where even these are too few nothing is rejected. Repeated rows count each.
+    fewer than LEAST_ROWS rows that pass the base rules is judged by the estimate over all rows of its language, and if these are too
+    few by that over all rows, however few; so every row that passes has a distance. Repeated rows count each.
     Other columns are ignored. An empty table gives an empty one."""
     scratch = Scratch(spark, "quality")
     named = [F.col(k).alias(f"key{i}") for i, k in enumerate(keys)]
@@ -217,15 +219,16 @@ def judge(spark: SparkSession, docs: DataFrame, keys: tuple[str, ...] = ("doc_id
     stats = ins.mapInArrow(_with_statistics(len(keys) + 2), schema).withColumn("base_failed", base_failed())
     stats = scratch.keep(stats.withColumns(transformed()), "statistics")
     passed = stats.where("not base_failed")
-    counts = passed.groupBy("gl", "gs").agg(F.count("*").alias("n"))
-    small = counts.where(F.col("n") < LEAST_ROWS)
-    per_lang = small.groupBy("gl").agg(F.sum("n").alias("nl")).where(F.col("nl") >= LEAST_ROWS).select("gl", F.lit(True).alias("own"))
-    groups = counts.join(per_lang, "gl", "left").select("gs", F.when(F.col("n") >= LEAST_ROWS, F.col("gs")).when(F.col("own"), F.col("gl")).otherwise(F.lit("*")).alias("g"), "n")
-    enough = groups.groupBy("g").agg(F.sum("n").alias("rows")).where(F.col("rows") >= LEAST_ROWS).select("g")
-    groups = scratch.keep(groups.join(enough, "g").select("gs", "g"), "groups")
-    params = RobustOutliers(spark, scratch).fit(passed.join(groups, "gs"))
-    judged = stats.join(groups.join(params, "g"), "gs", "left").withColumn("distance", F.when(F.col("mu").isNotNull(), _distance()))
-    kept = ~F.col("base_failed") & (F.coalesce("distance", F.lit(0.0)) <= CUT)
+    counts = scratch.keep(passed.groupBy("gl", "gs").agg(F.count("*").alias("n")), "counts")
+    per_lang = counts.groupBy("gl").agg(F.sum("n").alias("nl"))
+    by = F.when(F.col("n") >= LEAST_ROWS, F.col("gs")).when(F.col("nl") >= LEAST_ROWS, F.col("gl")).otherwise(F.lit(EVERYTHING))
+    groups = scratch.keep(counts.join(per_lang, "gl").select("gl", "gs", by.alias("g")), "groups")
+    # Each estimate that is asked for is made of all rows of its level, also those that have an estimate of their own.
+    asked = groups.select("g").distinct()
+    levels = groups.select("gs", F.explode(F.array("gs", "gl", F.lit(EVERYTHING))).alias("g")).join(asked, "g", "left_semi")
+    params = RobustOutliers(spark, scratch).fit(passed.join(scratch.keep(levels, "levels"), "gs"))
+    judged = stats.join(groups.select("gs", "g").join(params, "g"), "gs", "left").withColumn("distance", F.when(F.col("mu").isNotNull(), _distance()))
+    kept = ~F.col("base_failed") & (F.col("distance") <= CUT)
     return judged.select(*[F.col(f"key{i}").alias(k) for i, k in enumerate(keys)], *_COUNTED, "base_failed", kept.alias("kept"), "distance")
 
 

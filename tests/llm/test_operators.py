@@ -284,6 +284,20 @@ def test_outliers_are_rejected_and_others_kept(spark):
     assert quality_rules.judge(spark, docs.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("large", [0, 600])
+def test_small_groups_are_judged(spark, large):
+    """A small source beside a large one, and alone in a table of too few rows for any group."""
+    r = Random(10)
+    rows = [(k, words(r, r.randint(60, 300)), "en", "large") for k in range(large)]
+    good = [(1000 + k, words(r, r.randint(60, 300)), "en", "small") for k in range(100)]
+    bad = [(2000 + k, " ".join(f"{w}%%%" for w in words(r, 120).split()), "en", "small") for k in range(50)]
+    docs = spark.createDataFrame(rows + good + bad + [(3000, words(r, 90), None, None), (3001, "short", "fr", "x")], "doc_id long, text string, lang string, source string")
+    out = {x.doc_id: x for x in quality_rules.judge(spark, docs).collect()}
+    assert len(out) == large + 152 and all(x.distance is not None for i, x in out.items() if i != 3001)
+    assert not any(out[i].kept for i, *_ in bad) and not out[3001].kept
+    assert sum(out[i].kept for i, *_ in good) >= 98 and out[3000].kept
+
+
 def test_pii(spark):
     model = pii.trained()
     cases = {"call +1 (017) 555-7713 now": ["phone"], "x a.b@c9.example.com,": ["email"], "4111 1111 1111 1111 ok": ["card"], "1.2.3.4 or 300.1.1.1": ["ip"], "version 2.0.1 of 2024-10-12": [], "": [], "joe [at] site [dot] com": ["email"], "a@b@c.de @ @@x": ["email"], "+1" * 5: []}
