@@ -11,6 +11,8 @@ overlap no base span. Training maximises the likelihood of segmentations of isla
 from __future__ import annotations
 
 import re
+from array import array
+from collections import deque
 from functools import lru_cache
 from random import Random
 
@@ -26,6 +28,7 @@ _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz01234567
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _IP = re.compile(r"[0-9]+(?:\.[0-9]+){3}")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
+_RUN = re.compile(r"[0-9]+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 
 
@@ -43,7 +46,7 @@ def _small(part: str) -> bool:
 
 
 def _digits(s: str) -> str:
-    return "".join(c for c in s if "0" <= c <= "9")
+    return "".join(_RUN.findall(s))
 
 
 def _emails(text: str):
@@ -126,52 +129,67 @@ class Segmenter:
     def __init__(self, weights: np.ndarray, moves: np.ndarray):
         self.weights, self.moves = weights, moves
 
+    @staticmethod
+    def segments(text: str):
+        """For each atom its end and the segments (start atom, features) ending there that may be an entity. Only the last LONGEST atoms are held."""
+        recent: deque = deque(maxlen=LONGEST)  # atom, where it starts, may it begin an entity, digits, at signs and words "at" before it
+        digits = signs = ats = 0
+        for j, m in enumerate(_ATOM.finditer(text)):
+            a, b = m.span()
+            c = text[a]
+            recent.append((j, a, c.isalnum() or c in "+(", digits, signs, ats))
+            digits += b - a if "0" <= c <= "9" else 0
+            signs += c == "@"
+            ats += b - a == 2 and m[0].lower() == "at"
+            found = []
+            if text[b - 1].isalnum() or text[b - 1] in ")]":
+                for i, start, begins, d, at, spelt in recent:
+                    if i > j - 2:
+                        break
+                    if begins and (signs > at or digits - d >= 7 or (ats > spelt and _SPELT.fullmatch(text, start, b))):
+                        found.append((i, span_features(text, start, b)))
+            if b - a >= 9:
+                found.append((j, span_features(text, a, b)))
+            yield b, found
+
     @staticmethod
     def lattice(text: str):
         """Atom bounds and, for each end, the segments (start atom, features) that may be an entity."""
-        bounds = [m.span() for m in _ATOM.finditer(text)]
-        ends: list[list] = [[] for _ in bounds]
-        for i, (a, _) in enumerate(bounds):
-            if not (text[a].isalnum() or text[a] in "+("):
-                continue
-            for j in range(i + 2, min(len(bounds), i + LONGEST)):
-                b = bounds[j][1]
-                if text[b - 1].isalnum() or text[b - 1] in ")]":
-                    s = text[a:b]
-                    if "@" in s or len(_digits(s)) >= 7 or _SPELT.fullmatch(s):
-                        ends[j].append((i, span_features(text, a, b)))
-            if len(bounds[i : i + 1]) and bounds[i][1] - a >= 9 and text[a:].isascii():
-                ends[i].append((i, span_features(text, a, bounds[i][1])))
-        return bounds, ends
+        return [m.span() for m in _ATOM.finditer(text)], [found for _, found in Segmenter.segments(text)]
 
     def scores(self, ends):
         return [[(i, self.weights @ f) for i, f in each] for each in ends]
 
     def decode(self, text: str) -> list[tuple[int, int, int]]:
-        """Best segmentation: (kind number, start, end)."""
-        bounds, ends = self.lattice(text)
-        if not any(ends):
+        """Best segmentation: (kind number, start, end). Features and scores are held for the last LONGEST atoms, per atom only where its best came from."""
+        if not any(found for _, found in self.segments(text)):
             return []
-        scored, n, kinds = self.scores(ends), len(bounds), len(KINDS) + 1
-        best = np.full((n + 1, kinds), -np.inf)
-        best[0, 0] = 0
-        back = {}
-        for j in range(n):
-            into = best[j][:, None] + self.moves
-            k = int(into[:, 0].argmax())
-            best[j + 1, 0], back[j + 1, 0] = into[k, 0], (j, k)
-            for i, s in scored[j]:
-                into = best[i][:, None] + self.moves[:, 1:] + s[None, :]
+        kinds = len(KINDS) + 1
+        row = np.full(kinds, -np.inf)
+        row[0] = 0
+        best = deque([row], maxlen=LONGEST + 1)  # best[-1] belongs to the place before atom j
+        at, starts, before = array("q", [0]), array("q"), bytearray()
+        for j, (end, found) in enumerate(self.segments(text)):
+            at.append(end)
+            row, come, kind = np.full(kinds, -np.inf), [j] * kinds, [0] * kinds
+            into = best[-1] + self.moves[:, 0]
+            kind[0] = int(into.argmax())
+            row[0] = into[kind[0]]
+            for i, f in found:
+                into = best[i - j - 1][:, None] + self.moves[:, 1:] + (self.weights @ f)[None, :]
                 top = into.argmax(0)
                 for y in range(len(KINDS)):
-                    if into[top[y], y] > best[j + 1, y + 1]:
-                        best[j + 1, y + 1], back[j + 1, y + 1] = into[top[y], y], (i, int(top[y]))
-        j, y, out = n, int(best[n].argmax()), []
+                    if into[top[y], y] > row[y + 1]:
+                        row[y + 1], come[y + 1], kind[y + 1] = into[top[y], y], i, int(top[y])
+            best.append(row)
+            starts.extend(come)
+            before.extend(kind)
+        j, y, out = len(at) - 1, int(row.argmax()), []
         while j:
-            i, before = back[j, y]
+            slot = (j - 1) * kinds + y
             if y:
-                out.append((y - 1, bounds[i][0], bounds[j - 1][1]))
-            j, y = i, before
+                out.append((y - 1, at[starts[slot]], at[j]))
+            j, y = starts[slot], before[slot]
         return out[::-1]
 
     def gradient(self, lattice, gold: dict):
@@ -289,11 +307,10 @@ def find_spans(text: str, model: Segmenter) -> tuple[list[tuple[int, int, int]],
         island = m[0]
         if len(island) < 9 or len(island) > 40 * ISLAND_ATOMS:
             continue
-        for start in range(0, len(island), 4 * ISLAND_ATOMS):
-            for kind, a, b in model.decode(island[start : start + 4 * ISLAND_ATOMS]):
-                a, b = a + start + m.start(), b + start + m.start()
-                if not any(a < y and x < b for _, x, y in base):
-                    more.append((kind, a, b))
+        for kind, a, b in model.decode(island):
+            a, b = a + m.start(), b + m.start()
+            if not any(a < y and x < b for _, x, y in base):
+                more.append((kind, a, b))
     return base, sorted(base + more)
 
 

@@ -323,6 +323,40 @@ def test_pii(spark):
     assert pii.base_spans("a" * 200_000 + "@") == []
 
 
+def whole(model, text):
+    """Best segmentation by a plain dynamic programme over the lattice of the whole text."""
+    bounds, ends = model.lattice(text)
+    best = [{0: (0.0, ())}]
+    for j in range(len(bounds)):
+        here = {}
+        arcs = [(j, 0, 0.0)] + [(i, y + 1, s) for i, f in ends[j] for y, s in enumerate(model.weights @ f)]
+        for i, y, s in arcs:
+            for k, (score, path) in best[i].items():
+                total = score + model.moves[k, y] + s
+                if y not in here or total > here[y][0]:
+                    here[y] = (total, path if not y else (path, (y - 1, bounds[i][0], bounds[j][1])))
+        best.append(here)
+    path, out = max(best[-1].values(), key=lambda x: x[0])[1], []
+    while path:
+        path, last = path
+        out.append(last)
+    return out[::-1]
+
+
+def test_pii_in_long_islands():
+    """No boundary falls inside an entity, wherever it stands."""
+    model, r = pii.trained(), Random(4)
+    lists = [" ".join(f"{r.randint(200, 999)}-{r.randint(0, 999):03}-{r.randint(0, 9999):04}" for _ in range(300))]
+    lists += ["v1, " * 390 + "v1" * (k // 2) + "," * (k % 2) + " 555-223-1123 v2" for k in range(16, 48)]
+    for text in lists:
+        base, every = pii.find_spans(text, model)
+        free = [x for x in whole(model, text) if not any(x[1] < b and a < x[2] for _, a, b in base)]
+        assert every == sorted(base + free) and free
+    for text in lists[1:]:
+        at = text.index("555-")
+        assert pii.find_spans(text, model)[1] == [(3, at, at + 12)]
+
+
 def test_language_held_out(spark):
     r = Random(2)
     sounds = {"en": "the ing ed tion wh", "de": "sch ung ein ich ver", "fr": "eau oux ent ais é"}
