@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import re
 from array import array
+from bisect import bisect_right
 from collections import deque
 from functools import lru_cache
 from random import Random
@@ -81,8 +82,6 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 _ANCHOR = re.compile(r"(?:\S*[0-9@]\S*)(?:[ ]\S*[0-9@]\S*)*|\S+ ?[\[(]at[\])] ?\S+(?: ?[\[(]dot[\])] ?\S+)*", re.I)
 _ATOM = re.compile(r"[A-Za-z]+|[0-9]+|\s|.", re.S)
-#: An island longer than this has only the base spans: an entity is bounded, such runs are data.
-ISLAND_ATOMS = 400
 
 FEATURES = ("bias", "strict_email", "spelt_email", "has_at", "letters", "mark_edge", "ip_form", "ip_range", "d9_12", "d13_19", "d_other", "luhn", "plus", "area", "phone_form", "seps", "glued", "word_edge", "two_dots", "hexlike")
 _STRICT = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
@@ -302,14 +301,21 @@ def trained(seed: int = 7) -> Segmenter:
 def find_spans(text: str, model: Segmenter) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
     """(base spans, all spans by kind, then start)."""
     base = base_spans(text)
-    more = []
+    starts, ends, more = [], [], []  # the places under base spans, as disjoint stretches
+    for _, a, b in sorted(base, key=lambda s: s[1:]):
+        if ends and a <= ends[-1]:
+            ends[-1] = max(ends[-1], b)
+        else:
+            starts.append(a)
+            ends.append(b)
     for m in _ANCHOR.finditer(text):
         island = m[0]
-        if len(island) < 9 or len(island) > 40 * ISLAND_ATOMS:
+        if len(island) < 9:
             continue
         for kind, a, b in model.decode(island):
             a, b = a + m.start(), b + m.start()
-            if not any(a < y and x < b for _, x, y in base):
+            k = bisect_right(ends, a)
+            if k == len(starts) or starts[k] >= b:
                 more.append((kind, a, b))
     return base, sorted(base + more)
 

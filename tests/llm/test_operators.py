@@ -357,6 +357,16 @@ def test_pii_in_long_islands():
         assert pii.find_spans(text, model)[1] == [(3, at, at + 12)]
 
 
+def test_pii_in_a_very_long_island():
+    model, text = pii.trained(), " ".join(f"555-{100 + k % 900}-{1000 + k}" for k in range(1500))
+    assert len(text) == 19_499
+    base, every = pii.find_spans(text, model)
+    assert every == sorted(base + [x for x in whole(model, text) if not any(x[1] < b and a < x[2] for _, a, b in base)])
+    assert sum(k == 3 for k, _, _ in every) >= 750 > sum(k == 3 for k, _, _ in base)
+    spread = "1.2.3.4 ab1 " * 20_000 + "555-223-1123"  # the base spans of a long island are many, too
+    assert pii.find_spans(spread, model)[1][-1] == (3, 240_000, 240_012)
+
+
 def test_language_held_out(spark):
     r = Random(2)
     sounds = {"en": "the ing ed tion wh", "de": "sch ung ein ich ver", "fr": "eau oux ent ais é"}
