@@ -80,7 +80,11 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 # --- islands, atoms, features -------------------------------------------------------------------------------------
 
-_ANCHOR = re.compile(r"(?:\S*[0-9@]\S*)(?:[ ]\S*[0-9@]\S*)*|\S+ ?[\[(]at[\])] ?\S+(?: ?[\[(]dot[\])] ?\S+)*", re.I)
+_HOLDS = re.compile(r"[0-9@]")
+_MARK = re.compile(r"[\[(](?:at|dot)[\])]", re.I)
+_AT = re.compile(r"[\[(]at[\])]", re.I)
+_ANCHOR = re.compile(r"(?:[0-9@]|[\[(](?:at|dot)[\])])\S*", re.I)
+_TOKEN = re.compile(r"\S+")
 _ATOM = re.compile(r"[A-Za-z]+|[0-9]+|\s|.", re.S)
 
 FEATURES = ("bias", "strict_email", "spelt_email", "has_at", "letters", "mark_edge", "ip_form", "ip_range", "d9_12", "d13_19", "d_other", "luhn", "plus", "area", "phone_form", "seps", "glued", "word_edge", "two_dots", "hexlike")
@@ -89,17 +93,53 @@ _SPELT = re.compile(r"[A-Za-z0-9._%+-]+ ?(?:[\[(]at[\])]|@) ?[A-Za-z0-9-]+(?: ?(
 _PHONE_FORM = re.compile(r"(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{2,4}\)[ .-]?|[0-9]{2,4}[ .-])[0-9]{3,4}[ .-][0-9]{3,4}")
 
 
+def islands(text: str):
+    """(start, end) of runs of tokens with single blanks between them, in which two neighbours both hold a digit or at sign, or a spelt mark
+    like [at] or (dot) stands at the blank. A run has a digit, an at sign or a spelt one."""
+    start = end = 0  # of the run so far, of which the last token holds a digit or at sign (held), ends in a mark (open)
+    use = held = open_ = False
+
+    def marked(a, b):
+        return any(b - k >= a and _MARK.fullmatch(text, b - k, b) for k in (4, 5))
+
+    def absorb():
+        """An open run goes on over the next token."""
+        m = _TOKEN.match(text, end + 1) if open_ and text[end : end + 1] == " " else None
+        return m.end() if m else end
+
+    for m in _ANCHOR.finditer(text):
+        a, b = m.span()
+        while a > end and not text[a - 1].isspace():
+            a -= 1
+        holds, begins = bool(_HOLDS.search(text, a, b)), bool(_MARK.match(text, a, b))
+        if open_ and a > end + 1 and (far := absorb()) > end:
+            end, held, open_ = far, False, False
+        if not (end and a == end + 1 and text[end] == " " and (begins or open_ or (held and holds))):
+            if use:
+                yield start, end
+            start, use = a, False
+            if begins and a > end + 1 and text[a - 1] == " ":
+                start -= 1
+                while start > end and not text[start - 1].isspace():
+                    start -= 1
+        end, held, open_ = b, holds, marked(a, b)
+        use = use or holds or bool(_AT.search(text, a, b))
+    if use:
+        yield start, absorb()
+
+
 def span_features(text: str, a: int, b: int) -> np.ndarray:
     s, d = text[a:b], _digits(text[a:b])
     before, after = text[a - 1 : a], text[b : b + 1]
     letters = any(c.isalpha() for c in s)
     ip_form = bool(_IP.fullmatch(s))
     phone = bool(_PHONE_FORM.fullmatch(s))
+    spelt = bool(_SPELT.fullmatch(s))
     return np.array(
         [
             1,
             bool(_STRICT.fullmatch(s)),
-            bool(_SPELT.fullmatch(s)),
+            spelt,
             "@" in s,
             letters,
             not (s[-1].isalnum() and (s[0].isalnum() or s[0] in "+(")),
@@ -114,9 +154,9 @@ def span_features(text: str, a: int, b: int) -> np.ndarray:
             phone,
             sum(c in " -." for c in s) >= 2,
             (before.isalnum() or after.isalnum()),
-            before in ("+", "(", "@", ".", "-") and before != "",
+            before in ("+", "(", "@", ".", "-", "_", "%"),
             ".." in s,
-            letters and bool(d) and "@" not in s,
+            letters and bool(d) and "@" not in s and not spelt,
         ],
         float,
     )
@@ -308,12 +348,11 @@ def find_spans(text: str, model: Segmenter) -> tuple[list[tuple[int, int, int]],
         else:
             starts.append(a)
             ends.append(b)
-    for m in _ANCHOR.finditer(text):
-        island = m[0]
-        if len(island) < 9:
+    for first, last in islands(text):
+        if last - first < 9:
             continue
-        for kind, a, b in model.decode(island):
-            a, b = a + m.start(), b + m.start()
+        for kind, a, b in model.decode(text[first:last]):
+            a, b = a + first, b + first
             k = bisect_right(ends, a)
             if k == len(starts) or starts[k] >= b:
                 more.append((kind, a, b))

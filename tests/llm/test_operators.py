@@ -367,6 +367,20 @@ def test_pii_in_a_very_long_island():
     assert pii.find_spans(spread, model)[1][-1] == (3, 240_000, 240_012)
 
 
+def test_pii_spelt_out_with_digits():
+    model = pii.trained()
+    spelt = ["john5 [at] example [dot] com", "john.smith42 (AT) example (dot) com", "x7 [at] site9 [dot] org", "ann7[at]site9[dot]com", "ann7[at] site [dot]com", "bob_3 [at] web.example.com", "joe [at] site7 [dot] com"]
+    for s in spelt:
+        for before, after in (("", ""), ("write to ", " today"), ("in 2024 ", "\n[dot] 5"), ("\n", "  [at] home")):
+            assert pii.find_spans(before + s + after, model)[1] == [(0, len(before), len(before) + len(s))], before + s + after
+    assert pii.find_spans("a1b [dot] c2 (at) 7", model)[1] == [] and list(pii.islands("no [dot] mark, one [at]")) == [(15, 23)]
+    # without marks: runs of tokens that hold a digit or an at sign, as a plain expression has them
+    r, plain = Random(6), re.compile(r"\S*[0-9@]\S*(?:[ ]\S*[0-9@]\S*)*")
+    for _ in range(300):
+        text = "".join(r.choice("ab1@  \n\u00a0é.") for _ in range(r.randint(0, 80)))
+        assert list(pii.islands(text)) == [m.span() for m in plain.finditer(text)]
+
+
 def test_language_held_out(spark):
     r = Random(2)
     sounds = {"en": "the ing ed tion wh", "de": "sch ung ein ich ver", "fr": "eau oux ent ais é"}
