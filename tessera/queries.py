@@ -277,11 +277,9 @@ def pair_clique(spark, d):
     return cq.evaluate(Query(()), inputs, "clique_kckp").select(F.col("v0").alias("a"), F.col("v1").alias("b"), F.col("v2").alias("c"))
 
 
-@query("WITH RECURSIVE e AS (SELECT s_suppkey AS a, s_suppkey // 3 AS b FROM supplier WHERE s_suppkey % 5 <> 0), u AS (SELECT a, b FROM e UNION SELECT b, a FROM e), r(n, m) AS (SELECT a, a FROM u UNION SELECT u.b, r.m FROM r JOIN u ON u.a = r.n) SELECT n AS node, min(m) AS component FROM r GROUP BY n")
-def components(spark, d):
-    tables = Tables(spark, "components")
-    s = table(spark, d, "supplier").where("s_suppkey % 5 <> 0").select(F.col("s_suppkey").alias("a"), F.floor(F.col("s_suppkey") / 3).alias("b"))
-    both = tables.keep(s.unionByName(s.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+def _least_linked(tables: Tables, links: DataFrame) -> DataFrame:
+    """(node, component) of links (a, b): the least node that each is linked to, in either direction and over any number of links."""
+    both = tables.keep(links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
     label = tables.keep(both.groupBy(F.col("a").alias("node")).agg(F.least(F.first("a"), F.min("b")).alias("component")))
     while True:
         near = both.join(label.select(F.col("node").alias("b"), "component"), "b").groupBy(F.col("a").alias("node")).agg(F.min("component").alias("near"))
@@ -293,6 +291,19 @@ def components(spark, d):
             return label
 
 
+@query("WITH RECURSIVE e AS (SELECT s_suppkey AS a, s_suppkey // 3 AS b FROM supplier WHERE s_suppkey % 5 <> 0), u AS (SELECT a, b FROM e UNION SELECT b, a FROM e), r(n, m) AS (SELECT a, a FROM u UNION SELECT u.b, r.m FROM r JOIN u ON u.a = r.n) SELECT n AS node, min(m) AS component FROM r GROUP BY n")
+def components(spark, d):
+    s = table(spark, d, "supplier").where("s_suppkey % 5 <> 0").select(F.col("s_suppkey").alias("a"), F.floor(F.col("s_suppkey") / 3).alias("b"))
+    return _least_linked(Tables(spark, "components"), s)
+
+
+@query("WITH RECURSIVE e AS (SELECT c_custkey AS a, CAST(-1 - c_nationkey AS BIGINT) AS b FROM customer), u AS (SELECT a, b FROM e UNION SELECT b, a FROM e), r(n, m) AS (SELECT a, a FROM u UNION SELECT u.b, r.m FROM r JOIN u ON u.a = r.n) SELECT n AS node, min(m) AS component FROM r GROUP BY n")
+def components_customers(spark, d):
+    """Over the links of all customers to their nations; nation n is node -1 - n."""
+    links = table(spark, d, "customer").select(F.col("c_custkey").alias("a"), (-1 - F.col("c_nationkey").cast("long")).alias("b"))
+    return _least_linked(Tables(spark, "components"), links)
+
+
 @query("SELECT c_custkey, (SELECT count(*) FROM customer) + k AS fresh FROM (SELECT c_custkey, c_nationkey, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) - 1 AS k FROM customer)")
 def fresh_objects(spark, d):
     customer = table(spark, d, "customer").select("c_custkey", "c_nationkey")

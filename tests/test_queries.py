@@ -32,3 +32,14 @@ def test_matches_sql(spark, duck, name):
 
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
+
+
+def test_components_over_all_customers(spark, duck):
+    """Every customer and every nation that has one is there, with the least node of its component by brute force."""
+    links = [(k, -1 - n) for k, n in duck.sql("SELECT c_custkey, c_nationkey FROM customer").fetchall()]
+    component = {x: x for pair in links for x in pair}
+    while any(component[a] != component[b] for a, b in links):
+        for a, b in links:
+            component[a] = component[b] = min(component[a], component[b])
+    got = entry.queries()["components_customers"](spark, SF).collect()
+    assert len(got) == len(component) and {x.node: x.component for x in got} == component
