@@ -123,7 +123,7 @@ def _mapper(width: int, ranges: int):
                 nothing = np.zeros(len(full), np.int64)
                 yield pa.record_batch({"r": full.astype(np.int32), "kind": np.zeros(len(full), np.int32), "a": nothing, "b": nothing, "c": nothing.astype(np.int32), "blob": pa.array(blobs, pa.binary()), "many": pa.nulls(len(full), _MANY)})
 
-        for batch in batches:
+        for batch in (part for whole in batches for part in texthash.parts(whole, 1)):
             ids, cls, size = batch.column(0), [], []
             for tokens in texthash.shingle_sets(batch.column(1), width):
                 mark = _fingerprint(tokens) if len(tokens) else -1

@@ -45,17 +45,6 @@ _IN_WORD = (_POINT.astype(bool) & ~texthash.SEPARATOR).astype(np.uint8)
 
 STATS = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_upper long, n_marks long, n_lines long"
 _COUNTED = [c.split()[0] for c in STATS.split(", ")]
-BYTES_AT_ONCE = 1 << 21
-
-
-def parts(batch: pa.RecordBatch, text_at: int):
-    """Slices of a batch of about BYTES_AT_ONCE of text."""
-    size = np.cumsum(np.fromiter((len(x.as_py() or "") if x.is_valid else 0 for x in batch.column(text_at)), np.int64, batch.num_rows))
-    at = 0
-    while at < batch.num_rows:
-        to = max(at + 1, int(np.searchsorted(size, (size[at - 1] if at else 0) + BYTES_AT_ONCE, "right")))
-        yield batch.slice(at, to - at)
-        at = to
 
 
 def statistics(column: pa.Array) -> dict[str, np.ndarray]:
@@ -97,7 +86,7 @@ def statistics(column: pa.Array) -> dict[str, np.ndarray]:
 def _with_statistics(text_at: int):
     def run(batches):
         for batch in batches:
-            for part in parts(batch, text_at):
+            for part in texthash.parts(batch, text_at):
                 found = statistics(part.column(text_at))
                 kept = [k for k in range(part.num_columns) if k != text_at]
                 yield pa.RecordBatch.from_arrays([*(part.column(k) for k in kept), *(pa.array(found[c].astype(np.int64)) for c in _COUNTED)], names=[*(part.schema.names[k] for k in kept), *_COUNTED])

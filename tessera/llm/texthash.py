@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 #: Separators of words `[^\x20\x09-\x0D]+`.
 SEPARATOR = np.zeros(256, bool)
@@ -12,6 +13,7 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[0x41:0x5B] += 32
 
 SEGMENT = 1 << 20
+BYTES_AT_ONCE = 1 << 21
 _ODD = 0x9E3779B97F4A7C15
 _MASK = (1 << 64) - 1
 
@@ -55,6 +57,16 @@ def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[off[0] : off[-1]], off - off[0]
 
 
+def parts(batch: pa.RecordBatch, text_at: int):
+    """Slices of a batch of about BYTES_AT_ONCE of text, one row at least."""
+    size = np.cumsum(pc.fill_null(pc.binary_length(batch.column(text_at)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    at = 0
+    while at < batch.num_rows:
+        to = max(at + 1, int(np.searchsorted(size, (size[at - 1] if at else 0) + BYTES_AT_ONCE, "right")))
+        yield batch.slice(at, to - at)
+        at = to
+
+
 def word_hashes(raw: np.ndarray, off: np.ndarray, fold: bool = True) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all words of all texts, ASCII letters lower-cased if fold, and for each text the index of its first word (one more entry at the end)."""
     first = np.zeros(len(raw) + 1, bool)
