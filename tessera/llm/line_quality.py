@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import texthash
-from .quality_rules import parts
+from .texthash import parts
 
 #: Labelled documents used for training at most, per label, in the order of a hash of the id; their lines at most, evenly cut.
 TRAIN_PER_LABEL, TRAIN_LINES = 500, 60_000
