@@ -40,14 +40,14 @@ from .scratch import Scratch
 
 #: Shingles of one chunk of documents, the frequency within it from which a shingle sends a count only, and the classes that
 #: one row lists for such a shingle.
-CHUNK, HOT, PIECE = 2_000_000, 64, 96
+CHUNK, HOT, PIECE = 1_000_000, 48, 96
 MAX_MULTI, VERIFY_COST = 6, 2
 #: A bucket in which more classes than this have the shingle in their short prefix becomes a cluster; in the others each member meets these few only.
 BUCKET = 32
 #: Greatest share of a cluster that the joint buckets of one hub may hold.
 MOST_OF = 0.75
 #: Bytes of text whose shingles one owner holds in memory at a time.
-RANGE_BYTES = 64 << 20
+RANGE_BYTES = 16 << 20
 
 INC, DOC, HOT_DF, HOT_INC = 1, 2, 3, 4
 _MAP = "r int, kind int, a long, b long, c int, blob binary, many array<long>"
@@ -295,7 +295,7 @@ class JaccardJoin:
     def _clusters(self, large: DataFrame) -> DataFrame:
         """(h2, h, hub, c): the buckets of one hub as one cluster, or each as its own where that would hold over MOST_OF of cluster h.
         From the first level, where there are no clusters yet (members is null), all buckets of a hub are one."""
-        joint = large.groupBy("h", "hub", "members").agg(F.count_distinct("c").alias("held")).where(F.col("held") > MOST_OF * F.col("members")).select("h", "hub", F.lit(True).alias("apart"))
+        joint = large.select("h", "hub", "members", "c").distinct().groupBy("h", "hub", "members").agg(F.count("*").alias("held")).where(F.col("held") > MOST_OF * F.col("members")).select("h", "hub", F.lit(True).alias("apart"))
         named = _by_key(large, joint, ["h", "hub"], "left")
         name = F.when(F.col("members").isNull(), F.col("hub")).when(F.col("apart"), F.xxhash64("h", "hub", "t")).otherwise(F.xxhash64("h", "hub"))
         return self.scratch.keep(named.select(name.alias("h2"), "h", "hub", "c").distinct(), "clusters")
