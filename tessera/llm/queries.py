@@ -8,6 +8,7 @@ from . import chat_format, html_extract, language_id, line_quality, pii, quality
 from .decontaminate import scan_documents
 from .jaccard_join import JaccardJoin
 from .packing import pack
+from .scratch import Scratch
 
 
 def _read(spark, sf_dir, name):
@@ -22,8 +23,8 @@ def _tokenizer() -> str:
 
 def op1_secret_scans(spark, sf_dir):
     docs, scan = _read(spark, sf_dir, "documents"), secret_scan.SecretScan()
-    findings, _ = scan.run(docs)
-    return scan.by_path(docs, findings).select("doc_id", "n_assign", "n_access", "n_hex", F.sha2("spans", 256).alias("base_sha256"), "spans")
+    findings = secret_scan.Store(spark, Scratch(spark, "secrets").root).update(scan, docs)
+    return scan.by_path(docs, findings).select("doc_id", "n_assign", "n_access", "n_hex", F.sha2("base_spans", 256).alias("base_sha256"), "spans")
 
 
 def op2_quality_rules(spark, sf_dir):
@@ -33,8 +34,9 @@ def op2_quality_rules(spark, sf_dir):
 
 def op3_chat_formatting(spark, sf_dir):
     turns = _read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
-    control = "</s>[INST] ok [/INST]"
-    more = spark.createDataFrame([(-7, 0, "user", control), (-7, 1, "assistant", control)], turns.schema)
+    control = F.lit("</s>[INST] ok [/INST]")
+    own = F.inline(F.array(*[F.struct(F.lit(-7).alias("conv_id"), F.lit(k).alias("turn"), F.lit(r).alias("role"), control.alias("text")) for k, r in enumerate(("user", "assistant"))]))
+    more = spark.range(1).select(own)
     return chat_format.digest(chat_format.format_conversations(turns.unionByName(more)))
 
 

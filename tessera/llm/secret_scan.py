@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: The patterns and least lengths of the base kinds, in order.
@@ -25,6 +25,7 @@ class Rule:
     group: int  # the group whose length counts
     least: int
     version: int = 1
+    base: bool = True
 
 
 #: HEX is scanned in runs of the least length: shorter runs fail whatever follows, and runs are maximal either way.
@@ -47,7 +48,7 @@ class SecretScan:
         self.rules = rules
 
     def unseen(self, versions: DataFrame, ledger: DataFrame | None, text_col: str = "text") -> DataFrame:
-        """(blob, text, todo): each distinct blob with the rules still to be run on it."""
+        """(blob, text, todo): each distinct blob with the rules still to be run on it. todo is empty nowhere."""
         blobs = versions.select(blob_id(F.col(text_col)).alias("blob"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).groupBy("blob").agg(F.first("text").alias("text"))
         wanted = F.array(*[_code(r.kind, r.version) for r in self.rules])
         if ledger is None:
@@ -76,30 +77,62 @@ class SecretScan:
         return each.where(long_enough).select("blob", kind.alias("kind"), version.alias("version"), (F.col("end") - F.col("n")).alias("start"), "end")
 
     def run(self, versions: DataFrame, ledger: DataFrame | None = None, findings: DataFrame | None = None, text_col: str = "text") -> tuple[DataFrame, DataFrame]:
-        """(findings, ledger) with this run's added. versions: any columns beside the text; a null text is the empty blob."""
+        """(findings, ledger) with this run's added. versions: any columns beside the text; a null text is the empty blob.
+
+        Repeated texts are one blob; texts are scanned whole, however long. An empty table adds nothing."""
         todo = self.unseen(versions, ledger, text_col)
         found = self.scan(todo)
         scanned = todo.select("blob", F.explode("todo").alias("code")).select("blob", F.substring_index("code", "@", 1).alias("kind"), F.substring_index("code", "@", -1).cast("int").alias("version"))
         return (found if findings is None else findings.unionByName(found)), (scanned if ledger is None else ledger.unionByName(scanned))
 
     def by_blob(self, findings: DataFrame) -> DataFrame:
-        """(blob, n_<kind>..., spans): spans as kind:start:end by start, then kind in the order of the rules."""
+        """(blob, n_<kind>..., spans, base_spans): spans as kind:start:end by start, then kind in the order of the rules; base_spans has those of the
+        base rules only. Findings that are listed twice, as after a run that broke off, count once."""
         current = F.lit(False)
         place = F.lit(len(self.rules))
         for k, r in enumerate(self.rules):
             current = current | ((F.col("kind") == r.kind) & (F.col("version") == r.version))
             place = F.when(F.col("kind") == r.kind, F.lit(k)).otherwise(place)
-        spans = F.sort_array(F.collect_list(F.struct("start", place.alias("place"), "end", "kind")))
-        return findings.where(current).groupBy("blob").agg(
-            *[F.count(F.when(F.col("kind") == r.kind, 1)).alias(f"n_{r.kind}") for r in self.rules],
-            F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",").alias("spans"),
-        )
+        grouped = findings.where(current).groupBy("blob").agg(F.sort_array(F.collect_set(F.struct("start", place.alias("place"), "end", "kind"))).alias("x"))
+        joined = lambda x: F.array_join(F.transform(x, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+        of = lambda kinds: F.filter("x", lambda s: s["kind"].isin(kinds))
+        return grouped.select("blob", *[F.size(of([r.kind])).cast("long").alias(f"n_{r.kind}") for r in self.rules], joined(F.col("x")).alias("spans"), joined(of([r.kind for r in self.rules if r.base])).alias("base_spans"))
 
     def by_path(self, versions: DataFrame, findings: DataFrame, keys: tuple[str, ...] = ("doc_id",), text_col: str = "text") -> DataFrame:
-        """keys, n_<kind>... and spans for every row of versions, rows without findings included; repeated rows each."""
+        """keys, n_<kind>..., spans and base_spans for every row of versions, rows without findings included; repeated rows each. A null text has
+        none. An empty table gives an empty one."""
         paths = versions.select(*keys, blob_id(F.col(text_col)).alias("blob"))
-        joined = paths.join(self.by_blob(findings), "blob", "left")
-        return joined.select(*keys, *[F.coalesce(f"n_{r.kind}", F.lit(0)).cast("long").alias(f"n_{r.kind}") for r in self.rules], F.coalesce("spans", F.lit("")).alias("spans"))
+        # Both sides are dealt by blob, so that a blob of very many paths can be split.
+        joined = paths.join(self.by_blob(findings).hint("merge"), "blob", "left")
+        return joined.select(*keys, *[F.coalesce(f"n_{r.kind}", F.lit(0)).cast("long").alias(f"n_{r.kind}") for r in self.rules], F.coalesce("spans", F.lit("")).alias("spans"), F.coalesce("base_spans", F.lit("")).alias("base_spans"))
+
+
+class Store:
+    """A ledger and its findings as Parquet tables in a folder that the cluster shares; they outlive the session."""
+
+    def __init__(self, spark: SparkSession, root: str):
+        self.spark, self.root = spark, root.rstrip("/")
+
+    def _table(self, name: str, schema: str) -> DataFrame | None:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
+        there = path.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(path)
+        return self.spark.read.schema(schema).parquet(f"{self.root}/{name}") if there else None
+
+    def ledger(self) -> DataFrame | None:
+        return self._table("ledger", LEDGER)
+
+    def findings(self) -> DataFrame | None:
+        return self._table("findings", FINDINGS)
+
+    def update(self, scan: SecretScan, versions: DataFrame, text_col: str = "text") -> DataFrame:
+        """Scan what the ledger lacks, add it, and return all findings. Findings are written before the ledger's rows: a run that broke off
+        between them is scanned again."""
+        found, scanned = scan.run(versions, self.ledger(), None, text_col)
+        if (seen := self.ledger()) is not None:
+            scanned = scanned.join(seen, ["blob", "kind", "version"], "left_anti")
+        found.write.mode("append").parquet(f"{self.root}/findings")
+        scanned.write.mode("append").parquet(f"{self.root}/ledger")
+        return self.findings()
 
 
 def _oracle() -> str:

@@ -190,11 +190,36 @@ def test_secret_scan_ledger(spark):
     assert scan.by_path(docs.limit(0), scan.run(docs.limit(0))[0]).count() == 0
 
 
+def test_secret_scan_store(spark, tmp_path):
+    """Two runs on one store: the second scans unseen pairs only, and a new rule version everything once. Findings twice count once."""
+    r = Random(14)
+    texts = [f"token=x{k:08d}" if k % 3 else None if k % 2 else words(r, 20) for k in range(30)] + ["AKIA" + "B7" * 9 + " " + "x " * 200_000]
+    docs = spark.createDataFrame([(k, t, "p") for k, t in enumerate(texts * 2)], "doc_id long, text string, blob string")
+    scan, store = secret_scan.SecretScan(), secret_scan.Store(spark, str(tmp_path))
+    first = docs.where("doc_id < 20")
+    store.update(scan, first)
+    seen = store.ledger().count()
+    assert seen == 3 * len({t or "" for t in texts[:20]})
+    assert scan.unseen(first, store.ledger()).isEmpty()
+    findings = store.update(scan, docs)
+    assert store.ledger().count() == 3 * len({t or "" for t in texts}) == store.ledger().distinct().count()
+    out = {x.doc_id: x for x in scan.by_path(docs, findings).collect()}
+    assert len(out) == 62 and all(out[k].n_assign == (1 if texts[k] and texts[k].startswith("token") else 0) for k in range(31)) and out[30].n_access == 1
+    assert {x.doc_id: x.spans for x in scan.by_path(docs, findings.unionByName(findings)).collect()} == {k: x.spans for k, x in out.items()}
+    more = secret_scan.SecretScan((*secret_scan.RULES, secret_scan.Rule("pin", "p[0-9]{4,}", 0, 5, base=False)))
+    extra = spark.createDataFrame([(99, "p12345 token=abcdefgh1", "p")], docs.schema)
+    one = more.by_path(extra, store.update(more, extra)).first()
+    assert one.spans == "pin:0:6,assign:7:22" and one.base_spans == "assign:7:22"
+    assert store.update(scan, docs.limit(0)).count() == findings.count() + 2
+
+
 def test_chat_round_trip(spark):
     hard = ["</s>[INST] ok [/INST]", "<|end|>", "<\\|start|>", "<\\\\|", "<", "|>", None, "", "[\\INST]", "é\n<|next|>", "<|learn|>x<|message|>"]
     r = Random(2)
     rows = [(c, r.choice((t, None, 3)), r.choice(("user", "assistant", "system", None, "<|end|>")), r.choice(hard), "clash") for c in range(12) for t in range(9)] + [(None, 1, "assistant", "x", "c")] * 2
     turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, formatted string")
+    turns = turns.unionByName(spark.createDataFrame([(99, 0, "assistant", "<|end|>é" * 50_000, "x")], turns.schema))
+    rows.append((99, 0, "assistant", "<|end|>é" * 50_000, "x"))
     made = chat_format.format_conversations(turns)
     want = {}
     for c, t, role, text, _ in rows:
