@@ -292,13 +292,16 @@ class JaccardJoin:
         self.scratch.drop(rows)
         return links, following
 
-    def _clusters(self, large: DataFrame) -> DataFrame:
+    def _clusters(self, large: DataFrame, first: bool) -> DataFrame:
         """(h2, h, hub, c): the buckets of one hub as one cluster, or each as its own where that would hold over MOST_OF of cluster h.
-        From the first level, where there are no clusters yet (members is null), all buckets of a hub are one."""
-        joint = large.select("h", "hub", "members", "c").distinct().groupBy("h", "hub", "members").agg(F.count("*").alias("held")).where(F.col("held") > MOST_OF * F.col("members")).select("h", "hub", F.lit(True).alias("apart"))
-        named = _by_key(large, joint, ["h", "hub"], "left")
-        name = F.when(F.col("members").isNull(), F.col("hub")).when(F.col("apart"), F.xxhash64("h", "hub", "t")).otherwise(F.xxhash64("h", "hub"))
-        return self.scratch.keep(named.select(name.alias("h2"), "h", "hub", "c").distinct(), "clusters")
+        From the first level, where there are no clusters yet, all buckets of a hub are one."""
+        if first:
+            return self.scratch.keep(large.select(F.col("hub").alias("h2"), "h", "hub", "c").distinct(), "clusters")
+        buckets = large.select("h", "t", "hub", "members").distinct()
+        held = large.select("h", "hub", "c").distinct().groupBy("h", "hub").agg(F.count("*").alias("held"))
+        name = F.when(F.col("held") > MOST_OF * F.col("members"), F.xxhash64("h", "hub", "t")).otherwise(F.xxhash64("h", "hub"))
+        names = self.scratch.keep(_by_key(buckets, held, ["h", "hub"]).select("h", "t", name.alias("h2")), "names")
+        return self.scratch.keep(_by_key(large, names, ["h", "t"]).select("h2", "h", "hub", "c").distinct(), "clusters")
 
     def _differences(self, clusters: DataFrame, state: DataFrame) -> tuple[DataFrame, DataFrame]:
         """clusters over members of state -> the state of the next level, and links of the near members with the one nearest to the centre."""
@@ -338,10 +341,10 @@ class JaccardJoin:
         state, edges = sets.withColumns({"top_f": F.lit(top or 0), "best_g": F.lit(None).cast("long"), "members": F.lit(None).cast("long")}), None
         while True:
             links, large = self._level(state)
-            edges = links if edges is None else edges.unionByName(links)
+            first, edges = edges is None, links if edges is None else edges.unionByName(links)
             if large.isEmpty():
                 return connected_components(edges, self.scratch)
-            state, star = self._differences(self._clusters(large), state)
+            state, star = self._differences(self._clusters(large, first), state)
             edges = edges.unionByName(star)
 
     def _classes(self, docs: DataFrame, marks: tuple[str, ...]) -> tuple[DataFrame, DataFrame]:
