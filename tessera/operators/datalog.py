@@ -45,7 +45,7 @@ class Relaxation:
         """(state, v.., cost): the action's body with the fluent atom at `place` taken from the changed facts."""
         fluent = [a for a in action.atoms if a.pred not in self.task.static]
         static = [a for a in action.atoms if a.pred in self.task.static and a.variables]
-        frame, weight = None, F.lit(0)
+        frame = None
         order = ([fluent[place]] if fluent else []) + [a for k, a in enumerate(fluent) if k != place] + static
         left = list(order)
         while left:
@@ -68,7 +68,6 @@ class Relaxation:
                 frame = cq.natural_join(frame, table)
                 if "c1" in frame.columns:
                     frame = frame.withColumn("cost", self.combine(F.col("cost"), F.col("c1"))).drop("c1")
-        del weight
         return frame
 
     def fixpoint(self, states: DataFrame) -> DataFrame:
@@ -77,7 +76,7 @@ class Relaxation:
         none = F.array().cast("array<struct<p: int, a: array<int>>>")
         why = F.struct(F.lit(0).alias("cost"), F.lit(-1).alias("op"), F.array().cast("array<int>").alias("binding"), none.alias("body"))
         known = self.tables.keep(start.select("state", "p", "a", why.alias("why")))
-        changed, first = known, True
+        changed, first, moved = known, True, None
         relevant = self._relevant()
         rules = [(k, a) for k, a in enumerate(self.space.actions) if any(e.pred in relevant for e in a.adds)]
         while True:
@@ -85,7 +84,7 @@ class Relaxation:
             heads = []
             for op, action in rules:
                 fluent = [a for a in action.atoms if a.pred not in self.task.static]
-                bodies = [self._body(action, facts, delta, k) for k in range(len(fluent))] if fluent else []
+                bodies = [self._body(action, facts, delta, k) for k, x in enumerate(fluent) if moved is None or x.pred in moved]
                 if not fluent and first:
                     free = self._body(action, facts, delta, 0)
                     free = states.select("state").crossJoin(free) if free is not None else states.select("state")
@@ -104,7 +103,8 @@ class Relaxation:
             better = F.col("why").isNull() | (F.col("new.cost") < F.col("why.cost"))
             merged = self.tables.keep(both.select("state", "p", "a", F.when(F.col("new").isNotNull() & better, F.col("new")).otherwise(F.col("why")).alias("why"), (F.col("new").isNotNull() & better).alias("fell")))
             changed, known, first = merged.where("fell").drop("fell"), merged.drop("fell"), False
-            if changed.isEmpty():
+            moved = {r.p for r in changed.select("p").distinct().collect()}  # predicates: as many as the task names
+            if not moved:
                 return known
 
     def goal_costs(self, states: DataFrame, reached: DataFrame) -> DataFrame:

@@ -34,11 +34,15 @@ def pairs_of(atoms: DataFrame, with_atoms: DataFrame) -> DataFrame:
 
 
 class Novelty:
-    """novelty(states) in batches; states: (state, seq, r, g, atoms, added, done). Width 1 or 2."""
+    """novelty(states) in batches; states: (state, seq, r, g, atoms, added, done, same). Width 1 or 2.
 
-    def __init__(self, tables, width: int, n_objects: int, only_added: bool = True):
-        self.tables, self.width, self.n_objects, self.only_added = tables, width, n_objects, only_added
+    Where `same` holds, r and g are those of the parent, all of whose atoms were seen in this partition: only the added ones can
+    be new. Elsewhere all atoms of the state are looked at."""
+
+    def __init__(self, tables, width: int, n_objects: int):
+        self.tables, self.width, self.n_objects = tables, width, n_objects
         self.seen: dict[int, DataFrame | None] = {1: None, 2: None}
+        self.turn = 0
 
     def _new(self, items: DataFrame, width: int) -> DataFrame:
         """States that hold an item first; the items seen are extended."""
@@ -46,14 +50,14 @@ class Novelty:
         if self.seen[width] is not None:
             firsts = firsts.join(self.seen[width], ["r", "g", "x"], "left_anti")
         firsts = self.tables.keep(firsts)
-        new = firsts.select("r", "g", "x")
-        self.seen[width] = new if self.seen[width] is None else self.seen[width].unionByName(new)
+        self.seen[width] = self.tables.append(f"seen{width}", firsts.select("r", "g", "x"), self.turn)
         return firsts.select(F.col("by.state").alias("state")).distinct()
 
     def novelty(self, states: DataFrame) -> DataFrame:
         """(state, w): 0 for goals, 1 with a new atom, 2 with a new pair (width 2), else 3."""
         everything = atoms_of(states, self.n_objects)
-        atoms = atoms_of(states, self.n_objects, "added") if self.only_added else everything
+        self.turn += 1
+        atoms = atoms_of(states.withColumn("atoms", F.when(F.col("same"), F.col("added")).otherwise(F.col("atoms"))), self.n_objects)
         out = states.select("state", "done").join(self._new(atoms, 1).withColumn("n1", F.lit(True)), "state", "left")
         if self.width == 2:
             out = out.join(self._new(pairs_of(atoms, everything), 2).withColumn("n2", F.lit(True)), "state", "left")

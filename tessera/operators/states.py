@@ -28,23 +28,27 @@ def literal_atom(atom, offset: Column | None = None, fresh: dict | None = None)
 
 
 class StateSpace:
-    def __init__(self, spark: SparkSession, task: Task, generator: str = "yannakakis", seed: int = 1):
+    def __init__(self, spark: SparkSession, task: Task, generator: str = "yannakakis", seed: int = 1, static: DataFrame | None = None):
+        """static: facts (p, a) besides those of the task, as a table of any size; no action is then found inapplicable beforehand."""
         if generator not in cq.GENERATORS:
             raise ValueError(f"unknown generator {generator}")
         self.spark, self.task, self.generator = spark, task, generator
         self.options = {"seed": seed} if generator == "random_join" else {}
-        static = [(p, list(a)) for p, a in task.init if p in task.static]
-        self.static = spark.createDataFrame(static, FACTS)
+        facts: dict[int, list] = {}
+        for p, a in task.init:
+            if p in task.static:
+                facts.setdefault(p, []).append(list(a))
+        self.static = spark.createDataFrame([(p, a) for p, rows in facts.items() for a in rows], FACTS)
+        if static is not None:
+            self.static = static if not facts else self.static.unionByName(static)
         # Compile-time emptiness: a schema whose static atom has no match at all is never applicable.
-        self.actions = [a for a in task.actions if self._can_apply(a, {(p, tuple(x)) for p, x in static})]
+        self.actions = [a for a in task.actions if static is not None or self._can_apply(a, facts)]
 
-    def _can_apply(self, action: Action, static: set) -> bool:
+    def _can_apply(self, action: Action, facts: dict[int, list]) -> bool:
         for atom in action.atoms:
-            if atom.pred in self.task.static:
-                match = any(p == atom.pred and all(not isinstance(t, Const) or t.value == x for t, x in zip(atom.args, args)) for p, args in static)
-                if not match:
-                    return False
-        return not any((p, ()) in static for p in action.absent)
+            if atom.pred in self.task.static and not any(all(not isinstance(t, Const) or t.value == x for t, x in zip(atom.args, args)) for args in facts.get(atom.pred, ())):
+                return False
+        return not any(p in facts for p in action.absent)
 
     def initial(self) -> DataFrame:
         atoms = sorted({(p, tuple(a)) for p, a in self.task.init if p not in self.task.static})

@@ -17,6 +17,7 @@ class Tables:
             spark.conf.set("spark.checkpoint.dir", base)
         self.root = f"{base.rstrip('/')}/tessera-{label}-{uuid.uuid4().hex}"
         self.n = 0
+        self.schemas: dict = {}
 
     def keep(self, df: DataFrame) -> DataFrame:
         """Write df and return it read back: lost executors cost a task, not the loop."""
@@ -27,6 +28,15 @@ class Tables:
         out.kept_at = path
         return out
 
+    def append(self, name: str, df: DataFrame, turn: int) -> DataFrame:
+        """Add df to the table `name` as the part of one round; the whole table is returned, one scan whatever the number of rounds."""
+        df.write.mode("append").parquet(f"{self.root}/{name}/turn={turn}")
+        self.schemas[name] = df.schema
+        return self.appended(name)
+
+    def appended(self, name: str) -> DataFrame:
+        return self.spark.read.schema(self.schemas[name]).parquet(f"{self.root}/{name}").select(*self.schemas[name].names)
+
     def drop(self, df: DataFrame) -> None:
         if path := getattr(df, "kept_at", None):
             where = self.spark._jvm.org.apache.hadoop.fs.Path(path)
