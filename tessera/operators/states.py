@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans import conjunctive as cq
-from ..plans.ir import Action, Const, Task, Var
+from ..plans.ir import Action, Atom, Const, Task
 
 ATOM = "struct<p: int, a: array<int>>"
 ATOMS = f"array<{ATOM}>"
@@ -98,7 +98,7 @@ class StateSpace:
             else:
                 inputs.append(self._scan(facts if fluent else self.static, atom, cq.STATE if fluent else None))
         for p in action.absent:
-            guard = guard & ~F.exists("atoms", lambda x, p=p: x["p"] == p)
+            guard = guard & ~F.array_contains("atoms", literal_atom(Atom(p, ())))
         open_states = states.where(guard).select("state")
         if not inputs:
             frame, _ = cq.filtered(open_states, action.comparisons)

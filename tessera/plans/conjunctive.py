@@ -130,27 +130,37 @@ def random_order(inputs, comparisons, query, seed: int = 1):
     return _join_all(inputs, comparisons)
 
 
-def reduced(inputs: list[Input]) -> tuple[list[Input], list[tuple[int, int]], list[int]]:
-    """Semi-join programme up the ears and down again: no dangling rows are left in an acyclic query."""
+def reduced(inputs: list[Input], tables=None) -> tuple[list[Input], list[tuple[int, int]], list[int]]:
+    """Semi-join programme up the ears and down again: no dangling rows are left in an acyclic query.
+
+    With tables (a scratch.Tables) the distinct keys of each semi-join are written and read back: an input then is its own scan filtered by
+    key tables, whatever the length of the chain, and is scanned three times at most. Without, plans nest; for small inputs."""
     removed, alive = ears([i.variables for i in inputs])
     out = [i.frame for i in inputs]
+
+    def filtered_by(frame: DataFrame, other: DataFrame) -> DataFrame:
+        on = shared(frame, other)
+        if tables is None or not on:
+            return semi_join(frame, other)
+        return semi_join(frame, tables.keep(other.select(*on).distinct()))
+
     for ear, host in removed:
-        out[host] = semi_join(out[host], out[ear])
+        out[host] = filtered_by(out[host], out[ear])
     for ear, host in reversed(removed):
-        out[ear] = semi_join(out[ear], out[host])
+        out[ear] = filtered_by(out[ear], out[host])
     return [Input(f, i.variables) for f, i in zip(out, inputs)], removed, alive
 
 
-def full_reducer(inputs, comparisons, query):
+def full_reducer(inputs, comparisons, query, tables=None):
     """Reduce, then join from the root (or the cyclic rest, widest first) outwards, so that no products arise."""
-    inputs, removed, alive = reduced(inputs)
+    inputs, removed, alive = reduced(inputs, tables)
     order = sorted(alive, key=lambda k: -len(inputs[k].variables)) + [ear for ear, _ in reversed(removed)]
     return _join_all([inputs[k] for k in order], comparisons)
 
 
-def yannakakis(inputs, comparisons, query: Query):
+def yannakakis(inputs, comparisons, query: Query, tables=None):
     """Reduce, join bottom-up along the join tree and keep a witness of what the parent and the head need."""
-    inputs, removed, alive = reduced(inputs)
+    inputs, removed, alive = reduced(inputs, tables)
     frames, left = [i.frame for i in inputs], comparisons
     needed = query.distinguished | frozenset().union(frozenset(), *(c.variables for c in comparisons))
     wanted = {v.column for v in needed} | {STATE}
@@ -182,8 +192,8 @@ def clique(inputs, comparisons, query: Query):
         todo = sorted(todo, key=lambda t: -len(bound & set(t.columns)))
         order.append(todo.pop(0))
     frame = _join_all([Input(t, frozenset()) for t in order], comparisons)
-    for i in inputs:
-        frame = semi_join(frame, i.frame)
+    for i in inputs:  # the state comes from the first input that has it
+        frame = natural_join(frame, i.frame) if i.keyed and STATE not in frame.columns else semi_join(frame, i.frame)
     return frame
 
 

@@ -2,14 +2,21 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .operators import novelty as nov
+from .operators.datalog import Heuristic, Relaxation
+from .operators.search import PLAN_FOUND, Search, solve
+from .operators.states import ATOM, ATOMS, StateSpace
 from .plans import conjunctive as cq
-from .plans.ir import Comparison, Const, Query, Var
+from .plans.ir import Atom, Comparison, Const, Query, Var
 from .scratch import Tables
 from .session import table
+from .sources.pddl import parse_task
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -107,12 +114,12 @@ _CHAIN = "SELECT CAST(n_regionkey AS BIGINT) AS regionkey, CAST(n_nationkey AS B
 
 @query(_CHAIN)
 def full_reducer_chain(spark, d):
-    return _named(cq.evaluate(Query(()), _chain(spark, d), "full_reducer"))
+    return _named(cq.evaluate(Query(()), _chain(spark, d), "full_reducer", tables=Tables(spark, "reduce")))
 
 
 @query(f"SELECT DISTINCT custkey FROM ({_CHAIN})")
 def yannakakis_distinct(spark, d):
-    return _named(cq.evaluate(Query((), (), frozenset({CUSTOMER})), _chain(spark, d), "yannakakis").select("v2"))
+    return _named(cq.evaluate(Query((), (), frozenset({CUSTOMER})), _chain(spark, d), "yannakakis", tables=Tables(spark, "reduce")).select("v2"))
 
 
 @query("SELECT DISTINCT o_custkey AS custkey, o_orderkey AS orderkey, s_suppkey AS suppkey, CAST(s_nationkey AS BIGINT) AS nationkey FROM customer JOIN orders ON o_custkey = c_custkey JOIN lineitem ON l_orderkey = o_orderkey JOIN supplier ON s_suppkey = l_suppkey AND s_nationkey = c_nationkey")
@@ -142,21 +149,48 @@ def nullary_guard(spark, d):
     return orders.join(kinds, orders.need == kinds.event_type, "left_semi").join(kinds, orders.absent == kinds.event_type, "left_anti").select("o_orderkey")
 
 
-@query("SELECT k, status FROM (SELECT o_orderkey AS k, o_orderstatus AS status FROM orders EXCEPT SELECT o_orderkey, o_orderstatus FROM orders WHERE o_totalprice > 100000) UNION SELECT o_orderkey, 'X' FROM orders WHERE o_totalprice > 200000")
+def _fact(pred: int, *columns):
+    """A fact whose arguments are columns."""
+    return F.struct(F.lit(pred).alias("p"), F.array(*[F.col(c).cast("int") for c in columns]).cast("array<int>").alias("a")).cast(ATOM)
+
+
+def _states(rows: DataFrame, key: str, atoms, n_objects=None) -> DataFrame:
+    """One state per key with the atoms of its rows, nulls left out."""
+    packed = F.array_sort(F.collect_set(atoms)).cast(ATOMS).alias("atoms")
+    return rows.groupBy(F.col(key).cast("long").alias("state")).agg(packed, (n_objects if n_objects is not None else F.lit(0)).cast("int").alias("n_objects"))
+
+
+SHIP = parse_task(
+    "(define (domain ship) (:predicates (open ?o) (large ?o) (closed ?o)) (:action ship :parameters (?o) :precondition (and (open ?o) (large ?o)) :effect (and (not (open ?o)) (closed ?o))))",
+    "(define (problem p) (:domain ship) (:objects none) (:init) (:goal (closed none)))",
+)
+
+
+@query("WITH o AS (SELECT o_custkey AS c, o_orderkey AS k, o_totalprice > 200000 AS large FROM orders WHERE o_orderstatus = 'O') SELECT x.c AS custkey, x.k AS orderkey, string_agg(CASE WHEN y.k = x.k THEN '2:' ELSE '0:' END || y.k, ',' ORDER BY CASE WHEN y.k = x.k THEN 2 ELSE 0 END, y.k) AS after FROM o x JOIN o y ON y.c = x.c WHERE x.large GROUP BY x.c, x.k")
 def effects_update(spark, d):
+    """Successors of one state per customer, whose facts are the open orders: each large one can be shipped."""
     orders = table(spark, d, "orders")
-    now = orders.select(F.col("o_orderkey").alias("k"), F.col("o_orderstatus").alias("status"))
-    gone = orders.where("o_totalprice > 100000").select(F.col("o_orderkey").alias("k"), F.col("o_orderstatus").alias("status"))
-    added = orders.where("o_totalprice > 200000").select(F.col("o_orderkey").alias("k"), F.lit("X").alias("status"))
-    return now.join(gone, ["k", "status"], "left_anti").unionByName(added).distinct()
+    large = orders.where("o_totalprice > 200000").select(_fact(SHIP.number("large"), "o_orderkey").alias("x")).select("x.p", "x.a")
+    states = _states(orders.where("o_orderstatus = 'O'"), "o_custkey", _fact(SHIP.number("open"), "o_orderkey"))
+    after = StateSpace(spark, SHIP, static=large).successors(states)
+    text = F.array_join(F.transform("atoms", lambda x: F.concat_ws(":", x["p"].cast("string"), x["a"][0].cast("string"))), ",")
+    return after.select(F.col("parent").alias("custkey"), F.col("binding")[0].cast("long").alias("orderkey"), text.alias("after"))
+
+
+BUY = parse_task(
+    "(define (domain buy) (:predicates (had ?p) (sold ?p)) (:action buy :parameters (?p) :precondition (sold ?p) :effect (had ?p)))",
+    "(define (problem p) (:domain buy) (:objects urgent high low) (:init) (:goal (and (had urgent) (had high) (had low))))",
+)
 
 
 @query("WITH goal(p) AS (VALUES ('1-URGENT'), ('2-HIGH'), ('5-LOW')), have AS (SELECT DISTINCT o_custkey, o_orderpriority FROM orders) SELECT c_custkey, CAST(count(*) FILTER (WHERE o_custkey IS NULL) AS BIGINT) AS unsatisfied FROM customer CROSS JOIN goal LEFT JOIN have ON o_custkey = c_custkey AND o_orderpriority = p GROUP BY c_custkey")
 def goal_count(spark, d):
-    wanted = F.array(*[F.lit(p) for p in ("1-URGENT", "2-HIGH", "5-LOW")])
-    have = table(spark, d, "orders").where(F.col("o_orderpriority").isin("1-URGENT", "2-HIGH", "5-LOW")).groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.collect_set("o_orderpriority").alias("have"))
-    missing = F.size(F.array_except(wanted, F.coalesce("have", F.array().cast("array<string>"))))
-    return table(spark, d, "customer").select("c_custkey").join(have, "c_custkey", "left").select("c_custkey", missing.cast("long").alias("unsatisfied"))
+    """Unsatisfied goals of one state per customer."""
+    number = F.when(F.col("o_orderpriority") == "1-URGENT", 0).when(F.col("o_orderpriority") == "2-HIGH", 1).when(F.col("o_orderpriority") == "5-LOW", 2)
+    bought = table(spark, d, "orders").withColumn("number", number)
+    rows = table(spark, d, "customer").select("c_custkey").join(bought.where("number is not null"), F.col("c_custkey") == F.col("o_custkey"), "left")
+    states = _states(rows, "c_custkey", F.when(F.col("number").isNotNull(), _fact(BUY.number("had"), "number")))
+    return states.select(F.col("state").alias("c_custkey"), StateSpace(spark, BUY).goal_count().cast("long").alias("unsatisfied"))
 
 
 @query("SELECT event_id, event_id = min(event_id) OVER (PARTITION BY user_id, event_type) AS is_new FROM events")
@@ -164,13 +198,14 @@ def novelty1(spark, d):
     return nov.first_occurrence(table(spark, d, "events").select("event_id", "user_id", "event_type"), ["user_id", "event_type"], "event_id").select("event_id", "is_new")
 
 
-@query("SELECT a.event_id, a.event_type AS t1, b.t2, a.event_id = min(a.event_id) OVER (PARTITION BY a.user_id, least(a.event_type, b.t2), greatest(a.event_type, b.t2)) AS is_new FROM events a JOIN (SELECT user_id AS u, event_type AS t2, min(event_id) AS f FROM events GROUP BY ALL) b ON b.u = a.user_id AND b.f < a.event_id AND b.t2 <> a.event_type")
+@query("WITH e AS (SELECT event_id, user_id, event_type AS t, lag(event_type) OVER w AS l1, lag(event_type, 2) OVER w AS l2 FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id)), one AS (SELECT event_id, event_id = min(event_id) OVER (PARTITION BY user_id, t) AS n1 FROM e), p AS (SELECT event_id, user_id, least(t, o) AS x, greatest(t, o) AS y FROM (SELECT event_id, user_id, t, unnest([l1, l2]) AS o FROM e) WHERE o <> t), two AS (SELECT event_id, bool_or(event_id = f) AS n2 FROM (SELECT event_id, min(event_id) OVER (PARTITION BY user_id, x, y) AS f FROM p) GROUP BY event_id) SELECT event_id, CASE WHEN n1 THEN 1 WHEN n2 THEN 2 ELSE 3 END AS w FROM one LEFT JOIN two USING (event_id)")
 def novelty2(spark, d):
-    events = table(spark, d, "events").select("event_id", "user_id", "event_type")
-    before = events.groupBy("user_id", F.col("event_type").alias("t2")).agg(F.min("event_id").alias("f"))
-    pairs = events.join(before, "user_id").where((F.col("f") < F.col("event_id")) & (F.col("t2") != F.col("event_type")))
-    pairs = pairs.withColumn("pair", F.array_sort(F.array("event_type", "t2")))
-    return nov.first_occurrence(pairs, ["pair"], "event_id", ("user_id",)).select("event_id", F.col("event_type").alias("t1"), "t2", "is_new")
+    """Novelty of width 2 of one state per event, within its user: its atoms are the types of the user's last three events, its own is added."""
+    last = Window.partitionBy("user_id").orderBy("event_id")
+    events = table(spark, d, "events").select("event_id", "user_id", F.struct(F.lit(0).alias("p"), F.array(F.hash("event_type")).alias("a")).cast(ATOM).alias("x"))
+    atoms = F.array_distinct(F.array_compact(F.array("x", F.lag("x").over(last), F.lag("x", 2).over(last))))
+    states = events.select(F.col("event_id").alias("state"), F.col("event_id").alias("seq"), F.col("user_id").alias("r"), F.lit(0).alias("g"), atoms.alias("atoms"), F.array("x").alias("added"), F.lit(False).alias("done"), F.lit(True).alias("same"))
+    return nov.Novelty(Tables(spark, "novelty"), 2, 2**31 - 1).novelty(states).select(F.col("state").alias("event_id"), "w")
 
 
 @query("SELECT event_id, event_id = min(event_id) OVER (PARTITION BY CAST(ts AS DATE), user_id, event_type) AS is_new FROM events")
@@ -178,62 +213,124 @@ def novelty_partitioned(spark, d):
     return nov.first_occurrence(table(spark, d, "events").select("event_id", "user_id", "event_type", F.to_date("ts").alias("day")), ["user_id", "event_type"], "event_id", ("day",)).select("event_id", "is_new")
 
 
-#: A directed graph over parts: each part leads to half its key and to a seventh.
-_EDGES = "SELECT p_partkey AS a, p_partkey // 2 AS b FROM part UNION SELECT p_partkey, p_partkey // 7 FROM part"
-
+#: Each part is made of the parts of half its number and a seventh of it, at the cost of 1 + its number modulo 3. Part 0 is at hand.
+MAKE = parse_task(
+    "(define (domain make) (:predicates (have ?x) (shown ?x) (of1 ?x ?a ?b) (of2 ?x ?a ?b) (of3 ?x ?a ?b)) (:functions (total-cost) - number) "
+    + " ".join(f"(:action make{c} :parameters (?x ?a ?b) :precondition (and (of{c} ?x ?a ?b) (have ?a) (have ?b)) :effect (and (have ?x) (shown ?x) (increase (total-cost) {c})))" for c in (1, 2, 3))
+    + ")",
+    "(define (problem p) (:domain make) (:objects none) (:init) (:goal (have none)))",
+)
 
-def _edges(spark, d) -> DataFrame:
-    part = table(spark, d, "part").select(F.col("p_partkey").alias("a"))
-    return part.select("a", F.floor(F.col("a") / 2).alias("b")).unionByName(part.select("a", F.floor(F.col("a") / 7).alias("b"))).distinct()
 
+def _making(spark, d, goal: int | None = None) -> tuple[StateSpace, DataFrame]:
+    """The task over all parts and its one state; goal: the part to have and to show."""
+    part = table(spark, d, "part").select(F.col("p_partkey").alias("x"), F.floor(F.col("p_partkey") / 2).alias("a"), F.floor(F.col("p_partkey") / 7).alias("b"))
+    pred = F.element_at(F.array(*[F.lit(MAKE.number(f"of{c}")) for c in (1, 2, 3)]), (F.col("x") % 3 + 1).cast("int"))
+    recipes = part.where("x > 0").select(pred.alias("p"), F.array("x", "a", "b").cast("array<int>").alias("a"))
+    task = _with_goal(MAKE, goal) if goal is not None else MAKE
+    space = StateSpace(spark, task, static=recipes)
+    return space, spark.range(1).select(F.col("id").alias("state"), F.array(F.struct(F.lit(MAKE.number("have")).alias("p"), F.array(F.lit(0)).alias("a"))).cast(ATOMS).alias("atoms"), F.lit(0).alias("n_objects"))
 
-@query(f"WITH RECURSIVE e AS ({_EDGES}), r AS (SELECT max(p_partkey) AS a FROM part UNION SELECT e.b FROM r JOIN e ON e.a = r.a) SELECT a AS node FROM r")
-def reachability(spark, d):
-    tables, edges = Tables(spark, "reach"), _edges(spark, d)
-    found = new = tables.keep(edges.agg(F.max("a").alias("node")))
-    while True:
-        new = tables.keep(edges.join(new, edges.a == new.node, "left_semi").select(F.col("b").alias("node")).distinct().join(found, "node", "left_anti"))
-        if new.isEmpty():
-            return found
-        found = found.unionByName(new)
 
+def _with_goal(task, goal: int):
+    """The task with the goal to have and to show one part."""
+    return replace(task, goal=[Atom(task.number(p), (Const(goal),)) for p in ("have", "shown")])
 
-def _least_costs(spark, d, combine) -> DataFrame:
-    """Least cost from the greatest part to each node; an edge costs 1 + (a % 3)."""
-    tables, edges = Tables(spark, "costs"), _edges(spark, d).withColumn("w", 1 + F.col("a") % 3)
-    known = changed = tables.keep(edges.agg(F.max("a").alias("node")).select("node", F.lit(0).cast("long").alias("cost")))
-    while True:
-        reach = edges.join(changed, edges.a == changed.node).select(F.col("b").alias("node"), combine(F.col("cost"), F.col("w")).alias("new")).groupBy("node").agg(F.min("new").alias("new"))
-        both = known.join(reach, "node", "full").withColumn("fell", F.col("new").isNotNull() & (F.col("cost").isNull() | (F.col("new") < F.col("cost"))))
-        merged = tables.keep(both.select("node", F.least("cost", "new").alias("cost"), "fell"))
-        known, changed = merged.drop("fell"), merged.where("fell").drop("fell")
-        if changed.isEmpty():
-            return known
 
+_WAYS = "WITH RECURSIVE r AS (SELECT p_partkey AS top, p_partkey AS x, CAST(1 + p_partkey % 3 AS BIGINT) AS w, CAST(1 + p_partkey % 3 AS BIGINT) AS path FROM part WHERE p_partkey > 0 {} UNION ALL SELECT top, y, CAST(CASE WHEN y = 0 THEN 0 ELSE 1 + y % 3 END AS BIGINT), path + CASE WHEN y = 0 THEN 0 ELSE 1 + y % 3 END FROM (SELECT top, path, unnest([x // 2, x // 7]) AS y FROM r WHERE x > 0))"
 
 
-_BOUNDED = "WITH RECURSIVE e AS (" + _EDGES + "), r AS (SELECT max(p_partkey) AS node, CAST(0 AS BIGINT) AS cost, 0 AS k FROM part UNION SELECT e.b, {}, k + 1 FROM r JOIN e ON e.a = r.node WHERE k < 40 AND e.a <> e.b) SELECT node, min(cost) AS cost FROM r GROUP BY node"
+def _costs(spark, d, combine) -> DataFrame:
+    space, state = _making(spark, d)
+    reached = Relaxation(space, combine).fixpoint(state)
+    return reached.where((F.col("p") == MAKE.number("have")) & (F.col("a")[0] > 0)).select(F.col("a")[0].cast("long").alias("part"), F.col("why.cost").cast("long").alias("cost"))
 
 
-@query(_BOUNDED.format("r.cost + 1 + e.a % 3"))
+@query(_WAYS.format("") + " SELECT top AS part, CAST(sum(w) AS BIGINT) AS cost FROM r GROUP BY top")
 def hadd_fixpoint(spark, d):
-    return _least_costs(spark, d, lambda a, b: a + b)
+    """Least costs of all parts where those of a body are added."""
+    return _costs(spark, d, "sum")
 
 
-@query(_BOUNDED.format("greatest(r.cost, 1 + e.a % 3)"))
+@query(_WAYS.format("") + " SELECT top AS part, CAST(max(path) AS BIGINT) AS cost FROM r GROUP BY top")
 def hmax_fixpoint(spark, d):
-    return _least_costs(spark, d, F.greatest)
+    """Least costs of all parts where the dearest of a body counts."""
+    return _costs(spark, d, "max")
+
+
+def _last_part(spark, d) -> int:
+    return table(spark, d, "part").agg(F.max("p_partkey")).first()[0]
+
 
+_LAST = "AND p_partkey = (SELECT max(p_partkey) FROM part)"
 
-@query("SELECT o_orderkey FROM orders ORDER BY o_totalprice, o_orderdate, o_orderkey LIMIT 100")
+
+@query(_WAYS.format(_LAST) + " SELECT DISTINCT x AS part FROM r")
+def backchain_useful(spark, d):
+    """Parts on the derivation of the last one."""
+    space, state = _making(spark, d, _last_part(spark, d))
+    relaxed = Relaxation(space)
+    return relaxed.backchain(state, relaxed.fixpoint(state)).select(F.col("a")[0].cast("long").alias("part")).distinct()
+
+
+@query(_WAYS.format(_LAST) + ", f AS (SELECT CAST(sum(w) AS BIGINT) AS h FROM (SELECT DISTINCT x, w FROM r)) SELECT evaluator, CAST(h AS BIGINT) AS h FROM (SELECT 'ff' AS evaluator, h FROM f UNION ALL SELECT 'rff', h + (SELECT 1 + max(p_partkey) % 3 FROM part) FROM f UNION ALL SELECT 'add', 2 * sum(w) FROM r UNION ALL SELECT 'hmax', max(path) FROM r UNION ALL SELECT 'goalcount', 2 UNION ALL SELECT 'blind', 1)")
+def evaluators(spark, d):
+    """The value of the state under each evaluator, the goal being to have and to show the last part: the action that makes it adds both facts."""
+    space, state = _making(spark, d, _last_part(spark, d))
+    values = [Heuristic(space, name).evaluate(state).select(F.lit(name).alias("evaluator"), F.col("h").cast("long").alias("h")) for name in Heuristic.NAMES]
+    return reduce(DataFrame.unionByName, values)
+
+
+#: Edges over parts, from half and a seventh of a number to it.
+_EDGES = "SELECT p_partkey // 2 AS a, p_partkey AS b FROM part WHERE p_partkey > 0 UNION SELECT p_partkey // 7, p_partkey FROM part WHERE p_partkey > 0"
+
+
+@query(f"WITH RECURSIVE e AS ({_EDGES}), r AS (SELECT 0::BIGINT AS a UNION SELECT e.b FROM r JOIN e ON e.a = r.a) SELECT a AS node FROM r")
+def reachability(spark, d):
+    """All nodes that 0 leads to."""
+    part, tables = table(spark, d, "part").where("p_partkey > 0").select(F.col("p_partkey").alias("b")), Tables(spark, "reach")
+    edges = part.select(F.floor(F.col("b") / 2).alias("a"), "b").unionByName(part.select(F.floor(F.col("b") / 7).alias("a"), "b")).distinct()
+    new = tables.keep(spark.range(1).select(F.col("id").alias("node")))
+    found, turn = tables.append("found", new, 0), 0
+    while True:
+        turn += 1
+        new = tables.keep(edges.join(new, edges.a == new.node, "left_semi").select(F.col("b").alias("node")).distinct().join(found, "node", "left_anti"))
+        if new.isEmpty():
+            return found
+        found = tables.append("found", new, turn)
+
+
+@query("WITH RECURSIVE e AS (SELECT n_nationkey // 2 AS a, n_nationkey AS b FROM nation WHERE n_nationkey > 0 UNION SELECT n_nationkey // 5, n_nationkey FROM nation WHERE n_nationkey > 0), r AS (SELECT 0 AS x, 0 AS cost, 0 AS steps UNION SELECT e.b, r.cost + 1 + e.b % 3, r.steps + 1 FROM r JOIN e ON e.a = r.x) SELECT search, CAST(n AS BIGINT) AS n FROM (SELECT min(cost) AS cost, min(steps) AS steps FROM r WHERE x = (SELECT max(n_nationkey) FROM nation)), LATERAL (VALUES ('astar', cost), ('bfs', steps)) v(search, n)")
+def search_costs(spark, d):
+    """Ways from nation 0 to the last one: the cost of A*'s plan and the steps of breadth-first search's."""
+    keys = sorted(r[0] for r in table(spark, d, "nation").select("n_nationkey").collect())
+    edges = sorted({(b // k, b, 1 + b % 3) for b in keys if b > 0 for k in (2, 5)})
+    acts = "".join(f"(:action go{c} :parameters (?a ?b) :precondition (and (at ?a) (road{c} ?a ?b)) :effect (and (not (at ?a)) (at ?b) (increase (total-cost) {c})))" for c in (1, 2, 3))
+    domain = f"(define (domain roads) (:predicates (at ?x) (road1 ?a ?b) (road2 ?a ?b) (road3 ?a ?b)) (:functions (total-cost) - number) {acts})"
+    facts = " ".join(f"(road{c} n{a} n{b})" for a, b, c in edges)
+    task = parse_task(domain, f"(define (problem way) (:domain roads) (:objects {' '.join(f'n{k}' for k in keys)}) (:init (at n0) {facts}) (:goal (at n{keys[-1]})))")
+    found = {name: solve(spark, task, search=name, evaluator="blind", generator="join") for name in ("astar", "bfs")}
+    assert all(x.code == PLAN_FOUND for x in found.values())
+    return spark.createDataFrame([("astar", found["astar"].cost), ("bfs", len(found["bfs"].plan))], "search string, n long")
+
+
+@query("SELECT o_orderkey FROM orders ORDER BY CAST(floor(o_totalprice / 1000) AS BIGINT), o_custkey, o_orderkey LIMIT 100")
 def top_k_open(spark, d):
-    return table(spark, d, "orders").orderBy("o_totalprice", "o_orderdate", "o_orderkey").limit(100).select("o_orderkey")
+    """The 100 rows that a greedy search takes from an open list of all orders: by h, then g, then place."""
+    search = Search(spark, SHIP, search="gbfs", batch=100)
+    opened = table(spark, d, "orders").select(F.floor(F.col("o_totalprice") / 1000).alias("h"), F.col("o_custkey").alias("g"), F.col("o_orderkey").alias("seq"))
+    return search._taken(opened).select(F.col("seq").alias("o_orderkey"))
 
 
-@query("SELECT array_to_string(list_sort(list(DISTINCT event_type)), ',') AS packed, min(user_id) AS first_user, count(*) AS users FROM (SELECT user_id, event_type FROM events) GROUP BY user_id".join(["SELECT packed, min(first_user) AS first_user, CAST(count(*) AS BIGINT) AS n FROM (", ") GROUP BY packed"]))
+@query("WITH p AS (SELECT o_custkey AS c, list_sort(list(DISTINCT o_orderpriority)) AS x FROM orders GROUP BY o_custkey), k AS (SELECT x, min(c) AS old FROM p WHERE c % 4 = 0 GROUP BY x) SELECT array_to_string(x, ',') AS packed, min(c) AS first_customer, CAST(count(*) AS BIGINT) AS n, coalesce(min(old), -1) AS old FROM p LEFT JOIN k USING (x) GROUP BY x")
 def dedup_visited(spark, d):
-    packed = table(spark, d, "events").groupBy("user_id").agg(F.array_join(F.sort_array(F.collect_set("event_type")), ",").alias("packed"))
-    return packed.groupBy("packed").agg(F.min("user_id").alias("first_user"), F.count("*").alias("n"))
+    """All customers' sets of priorities as databases, looked up among the databases known, here every fourth customer's."""
+    kinds = table(spark, d, "orders").select("o_custkey", "o_orderpriority").distinct()
+    atom = F.struct(F.lit(0).alias("p"), F.array(F.substring("o_orderpriority", 1, 1).cast("int")).alias("a")).cast(ATOM)
+    names = kinds.groupBy("o_custkey").agg(F.array_sort(F.collect_set(atom)).alias("atoms"), F.array_join(F.array_sort(F.collect_set("o_orderpriority")), ",").alias("packed")).withColumn("n_objects", F.lit(0))
+    moves = names.groupBy("atoms", "n_objects", "packed").agg(F.min("o_custkey").alias("first_customer"), F.count("*").alias("n"))
+    known = names.where("o_custkey % 4 = 0").select("atoms", "n_objects", F.col("o_custkey").alias("state"), F.lit(0).alias("g"))
+    return Search(spark, SHIP, search="bfs")._looked_up(moves, known).select("packed", "first_customer", "n", F.coalesce("old", F.lit(-1)).alias("old"))
 
 
 @query("SELECT user_id, event_type, dense_rank() OVER (PARTITION BY user_id ORDER BY event_type) AS atom FROM (SELECT DISTINCT user_id, event_type FROM events)")
@@ -262,12 +359,12 @@ def static_detect(spark, d):
     return table(spark, d, "nation").select("n_nationkey").join(changed, "n_nationkey", "left_anti")
 
 
-_PAIRS = "SELECT DISTINCT s_nationkey AS a, c_nationkey AS b FROM lineitem JOIN orders ON o_orderkey = l_orderkey JOIN customer ON c_custkey = o_custkey JOIN supplier ON s_suppkey = l_suppkey WHERE s_nationkey < c_nationkey AND l_quantity > 45"
+_PAIRS = "SELECT DISTINCT s_nationkey AS a, c_nationkey AS b FROM lineitem JOIN orders ON o_orderkey = l_orderkey JOIN customer ON c_custkey = o_custkey JOIN supplier ON s_suppkey = l_suppkey WHERE s_nationkey < c_nationkey"
 
 
 @query(f"WITH p AS ({_PAIRS}) SELECT x.a, x.b, y.b AS c FROM p x JOIN p y ON y.a = x.b JOIN p z ON z.a = x.a AND z.b = y.b")
 def pair_clique(spark, d):
-    line = table(spark, d, "lineitem").where("l_quantity > 45").select("l_orderkey", "l_suppkey")
+    line = table(spark, d, "lineitem").select("l_orderkey", "l_suppkey")
     orders = table(spark, d, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey")
     customer = table(spark, d, "customer").select(F.col("c_custkey").alias("o_custkey"), F.col("c_nationkey").alias("b"))
     supplier = table(spark, d, "supplier").select(F.col("s_suppkey").alias("l_suppkey"), F.col("s_nationkey").alias("a"))
@@ -291,9 +388,9 @@ def _least_linked(tables: Tables, links: DataFrame) -> DataFrame:
             return label
 
 
-@query("WITH RECURSIVE e AS (SELECT s_suppkey AS a, s_suppkey // 3 AS b FROM supplier WHERE s_suppkey % 5 <> 0), u AS (SELECT a, b FROM e UNION SELECT b, a FROM e), r(n, m) AS (SELECT a, a FROM u UNION SELECT u.b, r.m FROM r JOIN u ON u.a = r.n) SELECT n AS node, min(m) AS component FROM r GROUP BY n")
+@query("WITH RECURSIVE e AS (SELECT s_suppkey AS a, s_suppkey // 3 AS b FROM supplier), u AS (SELECT a, b FROM e UNION SELECT b, a FROM e), r(n, m) AS (SELECT a, a FROM u UNION SELECT u.b, r.m FROM r JOIN u ON u.a = r.n) SELECT n AS node, min(m) AS component FROM r GROUP BY n")
 def components(spark, d):
-    s = table(spark, d, "supplier").where("s_suppkey % 5 <> 0").select(F.col("s_suppkey").alias("a"), F.floor(F.col("s_suppkey") / 3).alias("b"))
+    s = table(spark, d, "supplier").select(F.col("s_suppkey").alias("a"), F.floor(F.col("s_suppkey") / 3).alias("b"))
     return _least_linked(Tables(spark, "components"), s)
 
 
@@ -304,11 +401,20 @@ def components_customers(spark, d):
     return _least_linked(Tables(spark, "components"), links)
 
 
-@query("SELECT c_custkey, (SELECT count(*) FROM customer) + k AS fresh FROM (SELECT c_custkey, c_nationkey, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) - 1 AS k FROM customer)")
+OPEN_ACCOUNT = parse_task(
+    "(define (domain account) (:types ledger) (:predicates (waiting ?o) (booked ?o ?l)) (:action book :parameters (?o) :precondition (waiting ?o) :effect (and (not (waiting ?o)) (:new (?l - ledger) (booked ?o ?l)))))",
+    "(define (problem p) (:domain account) (:objects none) (:init) (:goal (booked none none)))",
+)
+
+
+@query("SELECT o_custkey AS custkey, o_orderkey AS orderkey, n AS fresh, n + 1 AS n_objects FROM orders JOIN (SELECT o_custkey, CAST(count(*) AS BIGINT) AS n FROM orders GROUP BY o_custkey) USING (o_custkey) WHERE o_orderstatus = 'P'")
 def fresh_objects(spark, d):
-    customer = table(spark, d, "customer").select("c_custkey", "c_nationkey")
-    place = F.row_number().over(Window.partitionBy("c_nationkey").orderBy("c_custkey")) - 1
-    return customer.withColumn("k", place).crossJoin(customer.agg(F.count("*").alias("n"))).select("c_custkey", (F.col("n") + F.col("k")).alias("fresh"))
+    """Each pending order can be booked with a ledger that did not exist: its number is that of the objects of the customer's state so far."""
+    pending = F.when(F.col("o_orderstatus") == "P", _fact(OPEN_ACCOUNT.number("waiting"), "o_orderkey"))
+    states = _states(table(spark, d, "orders"), "o_custkey", pending, F.count("*"))
+    after = StateSpace(spark, OPEN_ACCOUNT, "join").successors(states)
+    booked = F.filter("added", lambda x: x["p"] == OPEN_ACCOUNT.number("booked"))[0]["a"]
+    return after.select(F.col("parent").alias("custkey"), booked[0].cast("long").alias("orderkey"), booked[1].cast("long").alias("fresh"), F.col("n_objects").cast("long").alias("n_objects"))
 
 
 @query("WITH RECURSIVE p AS (SELECT o_orderkey AS k, lag(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS parent FROM orders), goal AS (SELECT o_orderkey AS k FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 1), r AS (SELECT p.k, p.parent, 0 AS back FROM p JOIN goal USING (k) UNION ALL SELECT p.k, p.parent, r.back + 1 FROM r JOIN p ON p.k = r.parent) SELECT k, CAST(back AS BIGINT) AS back FROM r")
@@ -341,10 +447,12 @@ def backchain_useful(spark, d):
         found = found.unionByName(new)
 
 
-@query("SELECT s_nationkey, bit_xor(hash(s_suppkey) & 0) AS zero, CAST(count(DISTINCT s_suppkey) AS BIGINT) AS n FROM supplier GROUP BY s_nationkey".replace("bit_xor(hash(s_suppkey) & 0) AS zero", "CAST(bit_xor(s_suppkey) AS BIGINT) AS digest"))
+@query("SELECT s_nationkey, CAST(sum(CAST('0x' || substr(md5(CAST(s_suppkey AS VARCHAR)), 1, 8) AS BIGINT)) AS BIGINT) AS digest, CAST(count(*) AS BIGINT) AS n FROM (SELECT DISTINCT s_nationkey, s_suppkey FROM supplier) GROUP BY s_nationkey")
 def relation_digest(spark, d):
-    """Order-independent digest of a relation."""
-    return table(spark, d, "supplier").groupBy("s_nationkey").agg(F.bit_xor("s_suppkey").alias("digest"), F.countDistinct("s_suppkey").alias("n"))
+    """Order-independent digest of a relation: the sum of its rows' hashes."""
+    rows = table(spark, d, "supplier").select("s_nationkey", "s_suppkey").distinct()
+    of_row = F.conv(F.substring(F.md5(F.col("s_suppkey").cast("string")), 1, 8), 16, 10).cast("long")
+    return rows.groupBy("s_nationkey").agg(F.sum(of_row).alias("digest"), F.count("*").alias("n"))
 
 
 @query("SELECT o_custkey, CAST(sum(DISTINCT o_orderkey) AS BIGINT) AS distinct_sum, CAST(sum(o_orderkey) AS BIGINT) AS plain_sum, CAST(count(*) AS BIGINT) AS length FROM orders GROUP BY o_custkey")

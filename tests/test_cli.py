@@ -2,7 +2,7 @@ import pytest
 
 from tessera.__main__ import main, parser
 
-from .domains import DISJUNCTION
+from .domains import SUPPER
 
 
 @pytest.mark.parametrize("argv", [["--nothing"], ["-i", "x", "--seed", "-1"], ["-i", "x", "-s", "none"], ["-i", "x", "--validate", "perhaps"]])
@@ -19,7 +19,7 @@ def test_inline_truth_values_and_missing_file(tmp_path):
 
 def test_plan_file(spark, tmp_path):
     domain, problem = tmp_path / "domain.pddl", tmp_path / "p.pddl"
-    domain.write_text(DISJUNCTION[0])
-    problem.write_text(DISJUNCTION[1])
+    domain.write_text(SUPPER[0])
+    problem.write_text(SUPPER[1])
     assert main(["-i", str(problem), "-s", "bfs", "--plan-file", str(tmp_path / "plan")]) == 0
     assert (tmp_path / "plan").read_text().splitlines()[-1] == "; cost = 2"

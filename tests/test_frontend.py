@@ -4,7 +4,7 @@ from tessera.plans import conjunctive as cq
 from tessera.plans.ir import Const, Var
 from tessera.sources import pddl
 
-from .domains import BLOCKS, COUNTERS, CREATION, DISJUNCTION
+from .domains import CHORES, COUNTERS, FERRY, MINT, SUPPER
 
 
 def test_tokens_and_nesting():
@@ -25,17 +25,22 @@ def test_normal_form():
     assert pddl.dnf(pddl.nested("(not (or (q) (r)))")) == [[(True, "q", ()), (True, "r", ())]]
 
 
-def test_blocks_task():
-    task = pddl.parse_task(*BLOCKS)
-    assert [a.name for a in task.actions] == ["pick-up", "put-down", "stack", "unstack"]
-    assert {a.cost for a in task.actions} == {1} and len(task.objects) == 4
-    fluent = [x for x in task.init if x[0] not in task.static]
-    assert len(fluent) == 9 and len(task.goal) == 3
+def test_untyped_task():
+    task = pddl.parse_task(*FERRY)
+    assert [a.name for a in task.actions] == ["load", "sail", "unload"]
+    assert {a.cost for a in task.actions} == {1} and len(task.objects) == 5
+    assert {task.predicates[p] for p in range(len(task.predicates)) if p not in task.static} == {"docked", "parked", "aboard", "empty"}
+    assert sum(x[0] not in task.static for x in task.init) == 5 and len(task.goal) == 3
+
+
+def test_facts_without_arguments():
+    task = pddl.parse_task(*CHORES)
+    assert {a.name: a.absent for a in task.actions}["dust"] == (task.number("swept"),) and all(not a.arity for a in task.actions)
 
 
 def test_disjunction_splits_under_one_name():
-    task = pddl.parse_task(*DISJUNCTION)
-    assert [a.name for a in task.actions] == ["doit"] * 3
+    task = pddl.parse_task(*SUPPER)
+    assert [a.name for a in task.actions] == ["eat"] * 3
 
 
 def test_costs_and_types():
@@ -47,19 +52,19 @@ def test_costs_and_types():
 
 
 def test_creation_types_each_new_object_with_its_own_chain():
-    (action,) = pddl.parse_task(*CREATION).actions
-    task = pddl.parse_task(*CREATION)
+    action = next(a for a in pddl.parse_task(*MINT).actions if a.fresh)
+    task = pddl.parse_task(*MINT)
     assert len(action.fresh) == 2
     chains = {v: {task.predicates[e.pred] for e in action.adds if e.args == (v,) and "@" in task.predicates[e.pred]} for v in action.fresh}
-    assert sorted(map(sorted, chains.values())) == [["type@box", "type@object"], ["type@item", "type@object"]]
+    assert sorted(map(sorted, chains.values())) == [["type@coin", "type@metal", "type@object"], ["type@object", "type@seal"]]
 
 
-@pytest.mark.parametrize("change", [("(clear ?x) (ontable ?x)", "(clear ?x) (nowhere ?x)"), ("(clear ?x) (ontable ?x)", "(clear ?x ?x)"), ("(holding ?x) (clear ?y)", "(not (on ?x ?y))"), ("(holding ?x) (clear ?y)", "(forall (?z) (clear ?z))"), ("(holding ?x) (clear ?y)", "(clear ?zz)")])
+@pytest.mark.parametrize("change", ["(nowhere ?c)", "(docked ?l ?l)", "(not (parked ?c ?l))", "(forall (?z) (shore ?z))", "(docked ?zz)"])
 def test_errors(change):
-    domain, problem = BLOCKS
-    assert change[0] in domain
+    domain, problem = FERRY
+    assert "(aboard ?c) (docked ?l)" in domain
     with pytest.raises(pddl.PddlError):
-        pddl.parse_task(domain.replace(*change), problem)
+        pddl.parse_task(domain.replace("(aboard ?c) (docked ?l)", f"(aboard ?c) {change}"), problem)
 
 
 def test_ears():
