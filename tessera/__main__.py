@@ -1,4 +1,6 @@
-"""Command line: python -m tessera -i problem.pddl [-d domain.pddl] [-s bfs] [-e ff] [-g yannakakis]."""
+"""Command line: python -m tessera -i problem.pddl [-d domain.pddl] [-s bfs] [-e ff] [-g yannakakis].
+
+With --iteration SEARCH,EVALUATOR,GENERATOR,SHARE, given once or more, the configurations run in turn; the plan goes to <plan file>.<number>."""
 
 from __future__ import annotations
 
@@ -7,7 +9,7 @@ import sys
 from pathlib import Path
 
 from .operators.datalog import Heuristic
-from .operators.search import BAD_INPUT, PLAN_FOUND, SEARCHES, solve, validate
+from .operators.search import BAD_INPUT, PLAN_FOUND, SEARCHES, portfolio, solve, validate
 from .plans.conjunctive import GENERATORS
 from .sources.pddl import PddlError, load_task
 
@@ -35,6 +37,13 @@ def _whole(text: str) -> int:
     return int(text)
 
 
+def _iteration(text: str) -> tuple[dict, float]:
+    search, evaluator, generator, share = [x.strip() for x in (text.split(",") + [""] * 4)[:4]]
+    if search not in SEARCHES or evaluator not in Heuristic.NAMES or generator not in GENERATORS or not share.replace(".", "", 1).isdigit() or float(share) <= 0 or text.count(",") != 3:
+        raise argparse.ArgumentTypeError(f"{text!r} is no SEARCH,EVALUATOR,GENERATOR,SHARE")
+    return {"search": search, "evaluator": evaluator, "generator": generator}, float(share)
+
+
 def parser() -> argparse.ArgumentParser:
     p = _Parser(prog="tessera")
     p.add_argument("-i", "--instance", required=True)
@@ -46,6 +55,7 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--seed", type=_whole, default=1)
     p.add_argument("--time-limit", type=float, default=1800)
     p.add_argument("--plan-file", default="plan")
+    p.add_argument("--iteration", type=_iteration, action="append")
     for flag in ("--unit-cost", "--validate", "--novelty-early-stop"):  # the last has no effect
         p.add_argument(flag, type=_truth, nargs="?", const=True, default=False)
     return p
@@ -61,7 +71,11 @@ def main(argv: list[str] | None = None) -> int:
     from pyspark.sql import SparkSession
 
     spark = SparkSession.builder.getOrCreate()
-    result = solve(spark, task, search=options.search, evaluator=options.evaluator, generator=options.generator, batch=options.batch, seed=options.seed, time_limit=options.time_limit)
+    if options.iteration:
+        result = portfolio(spark, task, [({**o, "batch": options.batch, "seed": options.seed}, share) for o, share in options.iteration], options.time_limit)
+        options.plan_file += f".{result.statistics.get('configuration', 1)}"
+    else:
+        result = solve(spark, task, search=options.search, evaluator=options.evaluator, generator=options.generator, batch=options.batch, seed=options.seed, time_limit=options.time_limit)
     for name, n in result.statistics.items():
         print(f"{name}: {n}")
     if result.code == PLAN_FOUND:

@@ -169,17 +169,3 @@ class Heuristic:
         sums = acts.groupBy("state").agg(F.sum("cost").cast("int").alias("total"))
         out = base.join(goal, "state").join(sums, "state", "left")
         return out.select("state", F.when(F.col("done"), 0).when(F.col("h").isNotNull(), F.coalesce("total", F.lit(0))).alias("h")), useful
-
-
-def static_reachability(task: Task) -> set[int]:
-    """Predicates that can ever hold, by rules over predicates alone."""
-    holds = {p for p, _ in task.init}
-    grown = True
-    while grown:
-        grown = False
-        for a in task.actions:
-            if all(x.pred in holds for x in a.atoms):
-                more = {e.pred for e in a.adds} - holds
-                grown |= bool(more)
-                holds |= more
-    return holds

@@ -132,6 +132,8 @@ class StateSpace:
         return moves.select(F.col("state").alias("parent"), "op", "binding", "cost", after.alias("atoms"), (F.col("n_objects") + F.col("n_new")).alias("n_objects"), F.array_except("adds", "atoms").alias("added"))
 
     def describe(self, op: int, binding: list[int]) -> str:
+        """(name objects), and after a semicolon the new objects that the action makes, if any."""
         action = self.actions[op]
         names = [self.task.objects[b] if b is not None and b < len(self.task.objects) else f"@new-obj-{b}" for b in binding]
-        return f"({' '.join([action.name, *names])})"
+        made = f" ;[created objects: {', '.join(f'v{v.index} -> @new-obj' for v in action.fresh)}]" if action.fresh else ""
+        return f"({' '.join([action.name, *names])}){made}"
