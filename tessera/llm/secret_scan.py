@@ -102,8 +102,9 @@ class SecretScan:
         """keys, n_<kind>..., spans and base_spans for every row of versions, rows without findings included; repeated rows each. A null text has
         none. An empty table gives an empty one."""
         paths = versions.select(*keys, blob_id(F.col(text_col)).alias("blob"))
-        # Both sides are dealt by blob, so that a blob of very many paths can be split.
-        joined = paths.join(self.by_blob(findings).hint("merge"), "blob", "left")
+        # The findings are dealt anew, so that both sides of the join are shuffled for it and a blob of very many paths can be split.
+        found = self.by_blob(findings).repartition(int(versions.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+        joined = paths.join(found.hint("merge"), "blob", "left")
         return joined.select(*keys, *[F.coalesce(f"n_{r.kind}", F.lit(0)).cast("long").alias(f"n_{r.kind}") for r in self.rules], F.coalesce("spans", F.lit("")).alias("spans"), F.coalesce("base_spans", F.lit("")).alias("base_spans"))
 
 

@@ -349,7 +349,36 @@ def test_outliers_are_rejected_and_others_kept(spark):
     assert sum(out[i] for i, *_ in good) >= 698
     kept = quality_rules.keep_good(spark, docs)
     assert kept.columns == docs.columns and {x.doc_id for x in kept.collect()} == {i for i, k in out.items() if k}
-    assert quality_rules.judge(spark, docs.limit(0)).count() == 0
+    assert quality_rules.judge(spark, docs.limit(0)).count() == 0 == quality_rules.keep_good(spark, docs.limit(0)).count()
+    # a repeated id loses its bad row only; columns with names of the operator's own stay as they are
+    again = docs.unionByName(spark.createDataFrame([(1000, good[0][1], None, None), (None, good[1][1], "en", "s"), (5, None, "en", "s")], docs.schema)).selectExpr("source", "doc_id", "text", "lang", "1 AS n_words", "'k' AS key0", "doc_id AS gs", "2.5D AS distance")
+    kept = quality_rules.keep_good(spark, again)
+    assert kept.columns == again.columns
+    assert Counter((x.doc_id, x.text) for x in kept.collect()) == Counter([(i, t) for i, t, *_ in good if out[i]] + [(1000, good[0][1]), (None, good[1][1])])
+
+
+def test_outliers_by_a_plain_estimate(spark):
+    """The verdicts are those of a plain minimum covariance determinant search with many starts, and no start of it ends much lower."""
+    r, g = Random(15), np.random.default_rng(15)
+    texts = [words(r, r.randint(60, 200)) + ("!" * r.randint(0, 9)) for _ in range(400)]
+    texts += [" ".join(w.upper() + r.choice(("!!", "&&", "")) for w in words(r, 90).split()) for _ in range(60)]
+    docs = spark.createDataFrame([(k, t, "en", "s") for k, t in enumerate(texts)], "doc_id long, text string, lang string, source string")
+    judged = quality_rules._judged(spark, docs, ("doc_id",), False).orderBy("key0").collect()
+    x = np.array([[j[n] for n in quality_rules.NAMES] for j in judged])
+    floor, h, best = np.diag(quality_rules.FLOOR**2), int(0.6 * len(x)), None
+    for _ in range(60):
+        core = g.choice(len(x), 30, replace=False)
+        for _ in range(30):
+            mu, cov = x[core].mean(0), 1.9 * np.cov(x[core].T, bias=True) + floor
+            d = np.einsum("ij,jk,ik->i", x - mu, np.linalg.inv(cov), x - mu)
+            core = np.argsort(d)[:h]
+        det = np.linalg.slogdet(cov)[1]
+        if best is None or det < best[0]:
+            best = (det, d)
+    assert judged[0].det <= best[0] + 0.5
+    want, got = best[1] <= quality_rules.CUT, np.array([j.kept for j in judged])
+    unsure = (best[1] > 0.6 * quality_rules.CUT) & (best[1] < 1.6 * quality_rules.CUT)
+    assert (want == got)[~unsure].all() and unsure.sum() <= 10 and 20 <= (~got).sum() <= 80
 
 
 @pytest.mark.parametrize("large", [0, 600])
