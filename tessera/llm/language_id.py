@@ -69,9 +69,8 @@ class Centroids:
         return _unit(np.log1p(counts) * self.idf)
 
     @classmethod
-    def fit(cls, rows: list[tuple[str, str]]) -> "Centroids":
-        """rows: (language, text)."""
-        rows = [(lang, c) for lang, text in sorted(rows) for c, letters in [trigram_counts(text)] if letters]
+    def fit(cls, rows: list[tuple[str, np.ndarray]]) -> "Centroids":
+        """rows: (language, trigram counts of a text with letters), in an order that doesn't depend on how the table is dealt out."""
         names = sorted({lang for lang, _ in rows})
         if not names:
             return cls([], np.ones(DIMENSIONS, np.float32), np.zeros((0, DIMENSIONS), np.float32), np.zeros(0, int), np.zeros(0))
@@ -105,14 +104,27 @@ class Centroids:
         return self.names[k], float(1 / heat.sum()), float(1 - best[k]), bool(1 - best[k] > self.limit[k])
 
 
+def _counted(batches):
+    for batch in batches:
+        found = [trigram_counts(t.as_py()) for t in batch.column(3)]
+        letters = pa.array([n for _, n in found], pa.int64())
+        yield pa.RecordBatch.from_arrays([*batch.columns[:3], letters, pa.array([c.tobytes() for c, _ in found], pa.binary())], names=["lang", "id", "h", "letters", "counts"])
+
+
 def fit(docs: DataFrame, usable, per_language: int = TRAIN_PER_LANGUAGE, id_col: str = "doc_id") -> Centroids:
-    """Train on the rows where `usable` holds and lang isn't null: ids are chosen first, whole texts fetched for these only."""
+    """Train on the rows where `usable` holds and lang isn't null: rows are chosen by hashes of id and text, counted where they are, and only their
+    counts (16 KB a row, whatever the text's length) come to the driver, per_language for each language."""
     own = docs.where(usable & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    order = Window.partitionBy("lang").orderBy(F.xxhash64(F.col(id_col).cast("string")), id_col)
-    chosen = own.select("lang", id_col).withColumn("k", F.row_number().over(order)).where(F.col("k") <= per_language).select(id_col, "lang")
-    ids = [r[0] for r in chosen.select(id_col).toLocalIterator()]
-    rows = own.where(F.col(id_col).isin(ids)).select("lang", "text").collect() if ids else []
-    return Centroids.fit([(r[0], r[1]) for r in rows])
+    own = own.select(F.col("lang").cast("string"), F.col(id_col).cast("string").alias("id"), F.xxhash64("text").alias("h"), F.col("text").cast("string"))
+    order = Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id", "h")
+    chosen = own.select("lang", "id", "h").withColumn("k", F.row_number().over(order)).where(F.col("k") <= per_language).select("lang", "id", "h").distinct()
+    keys = chosen.collect()
+    if not keys:
+        return Centroids.fit([])
+    rows = own.where(F.col("id").isin([r.id for r in keys])).join(F.broadcast(docs.sparkSession.createDataFrame(keys, chosen.schema)), ["lang", "id", "h"], "left_semi")
+    counts = rows.select("lang", "id", "h", "text").dropDuplicates(["lang", "id", "h"]).mapInArrow(_counted, "lang string, id string, h long, letters long, counts binary")
+    found = sorted(counts.where("letters > 0").collect(), key=lambda r: (r.lang, r.h, r.id))
+    return Centroids.fit([(r.lang, np.frombuffer(r.counts, np.float32)) for r in found])
 
 
 def predict(docs: DataFrame, model: Centroids) -> DataFrame:

@@ -18,6 +18,8 @@ from .texthash import parts
 
 #: Labelled documents used for training at most, per label, in the order of a hash of the id; their lines at most, evenly cut.
 TRAIN_PER_LABEL, TRAIN_LINES = 500, 60_000
+#: Characters of the training documents together.
+TRAIN_CHARS = 20_000_000
 EPOCHS, ROUNDS = 60, 3
 
 _CLASSES = {
@@ -194,14 +196,20 @@ def fit(docs: DataFrame, labels: DataFrame, usable, per_label: int = TRAIN_PER_L
     for y in (0, 1):
         for r in known.where(F.col("low") == y).orderBy(F.xxhash64(F.col("doc_id").cast("string")), "doc_id").limit(per_label).select("doc_id").collect():
             chosen[r[0]] = y
-    rows = docs.where(F.col("doc_id").isin(list(chosen))).select("doc_id", "text").collect() if chosen else []
-    rows = sorted((r[0], r[1] or "") for r in rows)
-    kept, lines = [], 0
-    for doc, text in sorted(rows, key=lambda r: r[1].count("\n")):  # many-lined texts last: they alone may exceed the bound
-        lines += text.count("\n") + 1
-        if lines > TRAIN_LINES and kept:
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    rows = docs.where(F.col("doc_id").isin(list(chosen))).select("doc_id", text.alias("text"), F.xxhash64(text).alias("h"))
+    sizes = rows.select("doc_id", "h", F.length("text").alias("chars"), (F.length("text") - F.length(F.replace("text", F.lit("\n"))) + 1).alias("lines")).distinct()
+    kept, lines, chars = [], 0, 0
+    for r in sizes.orderBy("lines", "chars", "doc_id", "h").limit(2 * per_label).collect() if chosen else []:  # many-lined texts last: the bounds leave them out
+        lines, chars = lines + r.lines, chars + r.chars
+        if lines > TRAIN_LINES or chars > TRAIN_CHARS:
             break
-        kept.append((doc, text))
+        kept.append((r.doc_id, r.h))
+    if not kept:
+        return LineField().fit([], [])
+    picked = docs.sparkSession.createDataFrame(kept, rows.select("doc_id", "h").schema)
+    found = rows.where(F.col("doc_id").isin([d for d, _ in kept])).join(F.broadcast(picked), ["doc_id", "h"], "left_semi").dropDuplicates(["doc_id", "h"]).collect()
+    kept = [(r.doc_id, r.text) for r in sorted(found, key=lambda r: (r.text.count("\n"), r.doc_id, r.text))]
     return LineField().fit([t for _, t in kept], [chosen[d] for d, _ in kept])
 
 

@@ -570,6 +570,32 @@ def test_language_held_out(spark):
     assert model.predict(long)[0] == "de"
 
 
+def test_nearest_centroid_by_brute_force(spark):
+    """Inverse frequencies, centroids and predictions against plain loops."""
+    r = Random(22)
+    rows = [(k, " ".join(r.choice(("aba", "cdc", "dab") if k % 2 else ("bcb", "acca", "dab")) for _ in range(r.randint(5, 30))), "xy"[k % 2]) for k in range(60)]
+    docs = spark.createDataFrame([*rows, *rows[:5], (70, None, "x"), (71, "aba", None), (72, "12", "y")], "doc_id long, text string, lang string").selectExpr("doc_id", "text", "lang", "'c' AS h", "1 AS counts")
+    model = language_id.fit(docs, docs.doc_id >= 0)
+    counts = {t: language_id.trigram_counts(t)[0] for _, t, _ in rows}
+    for d in r.sample(range(language_id.DIMENSIONS), 200) + [int(np.argmax(sum(counts.values())))]:
+        df = sum(c[d] > 0 for _, c in ((k, counts[t]) for k, t, _ in rows))
+        assert abs(model.idf[d] - (np.log(61 / (1 + df)) + 1)) < 1e-5
+    unit = lambda v: v / np.sqrt((v * v).sum())
+    weighed = {t: unit(np.log1p(c) * model.idf) for t, c in counts.items()}
+    for k, name in enumerate(model.names):
+        mids = model.centres[model.owner == k]
+        own = [weighed[t] for _, t, lang in rows if lang == name]
+        near = [max(range(len(mids)), key=lambda m: v @ mids[m]) for v in own]
+        for m in set(near):  # each centroid is the direction of the sum of its texts
+            assert unit(sum(v for v, n in zip(own, near) if n == m)) @ mids[m] > 0.999
+    for t, v in weighed.items():
+        nearest = max(range(len(model.centres)), key=lambda c: v @ model.centres[c])
+        lang, score, distance, rejected = model.predict(t)
+        assert lang == model.names[model.owner[nearest]] and abs(distance - (1 - v @ model.centres[nearest])) < 1e-5
+        assert rejected == (distance > model.limit[model.owner[nearest]])
+    assert language_id.fit(docs, docs.doc_id < 0).predict("aba")[0] == "und"
+
+
 def test_trigrams_do_not_depend_on_pieces(monkeypatch):
     text = words(Random(3), 400)
     whole = language_id.trigram_counts(text)
@@ -615,6 +641,49 @@ def test_line_quality_held_out(spark):
     assert line_quality.score(docs.limit(0), model).count() == 0
 
 
+def test_first_split_by_brute_force():
+    from tessera.llm.boosting import BoostedTrees
+
+    g = np.random.default_rng(8)
+    x, y = g.normal(size=(60, 4)).round(1), g.integers(0, 3, 60)
+    trees = BoostedTrees(3, rounds=1, depth=1, bins=8).fit(x, y)
+    cuts = [np.unique(np.quantile(c, np.linspace(0, 1, 9)[1:-1])) for c in x.T]
+    for k in range(3):
+        grad, hess = 1 / 3 - (y == k), np.full(60, 2 / 9 + 1e-6)
+        gain = {}
+        for f in range(4):
+            for c in cuts[f]:
+                left = x[:, f] <= c
+                part = lambda m: grad[m].sum() ** 2 / (hess[m].sum() + 1)
+                if hess[left].sum() >= 0.3 and hess[~left].sum() >= 0.3:
+                    gain[f, c] = part(left) + part(~left)
+        feature, threshold, value = trees.trees[0][k]
+        assert abs(gain[int(feature[0]), threshold[0]] - max(gain.values())) < 1e-9
+        left = x[:, feature[0]] <= threshold[0]
+        assert np.allclose(value, [-0.3 * grad[m].sum() / (hess[m].sum() + 1) for m in (left, ~left)])
+    p = np.exp(trees.log_probabilities(x))
+    assert np.allclose(p.sum(1), 1)
+
+
+def test_tree_decoding_by_enumeration():
+    """The states of greatest probability among all that agree along every path."""
+    import itertools
+
+    g, r = np.random.default_rng(9), Random(9)
+    H = html_extract
+    allowed = {(H.AROUND, s) for s in (H.AROUND, H.ARTICLE, H.REMOVED)} | {(H.ARTICLE, H.ARTICLE), (H.ARTICLE, H.REMOVED), (H.REMOVED, H.REMOVED)}
+    for _ in range(20):
+        page = "<div>" * r.randint(1, 3) + "".join(r.choice(("<p>a", "<div>b", "</div>", "<ul><li>c</ul>")) for _ in range(3))
+        nodes = H.parse(page)
+        if len(nodes) > 9:
+            continue
+        logp = np.log(g.dirichlet(np.ones(3), len(nodes)))
+        at = {id(n): k for k, n in enumerate(nodes)}
+        best = max((sum(logp[k, s] for k, s in enumerate(states)) for states in itertools.product(range(3), repeat=len(nodes)) if all((states[at[id(n.parent)]], states[k]) in allowed for k, n in enumerate(nodes) if n.parent is not None)))
+        got = H.decode(nodes, logp)
+        assert abs(sum(logp[k, s] for k, s in enumerate(got)) - best) < 1e-9
+
+
 def test_html(spark):
     pages = {
         "<html><head><title>t</title><script>var a='</p>';</script></head><body><nav><ul><li><a href=/>x</a></ul></nav><div class='ad'>Buy.</div><article><h1>Head &amp; co</h1><p><b>One\n two.<br>three<p>Four, five.<div class=comments><p>Nice.</div></article><footer>&copy; me</footer>": "Head & co One two. three Four, five.",
