@@ -274,7 +274,7 @@ class JaccardJoin:
         buckets = rows.groupBy("h", "t").agg(F.count("*").alias("all"), F.count_if("short").alias("k"), F.count_if(~F.col("near")).alias("far"), F.first("members").alias("members"), F.min(F.when(F.col("short"), F.struct(F.xxhash64("c").alias("o"), "c"))).alias("hub"))
         buckets = keep(buckets.where("all > 1 and k > 0 and far > 0").select("h", "t", "k", "members", F.col("hub.c").alias("hub")), "buckets")
 
-        own = _by_key(rows, buckets.where(F.col("k") <= BUCKET).select("h", "t"), ["h", "t"])
+        own = keep(_by_key(rows, buckets.where(F.col("k") <= BUCKET).select("h", "t"), ["h", "t"]), "small")  # a table, so that the join below can split a bucket
         a, b = (own.select("h", "t", *(F.col(x).alias(x + s) for x in ("c", "n", "f", "g", "l", "at", "short", "near"))) for s in ("1", "2"))
         before = (F.col("g1") < F.col("g2")) | ((F.col("g1") == F.col("g2")) & (F.col("c1") < F.col("c2")))
         # With |D| = (f + g) / w, the overlap that this very pair needs bounds the place of a common element in either prefix.

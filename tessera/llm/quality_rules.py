@@ -232,7 +232,8 @@ def _judged(spark: SparkSession, docs: DataFrame, keys: tuple[str, ...], text_st
     asked = groups.select("g").distinct()
     levels = groups.select("gs", F.explode(F.array("gs", "gl", F.lit(EVERYTHING))).alias("g")).join(asked, "g", "left_semi")
     params = RobustOutliers(spark, scratch).fit(passed.join(scratch.keep(levels, "levels"), "gs"))
-    found = stats.join(groups.select("gs", "g").join(params, "g"), "gs", "left").withColumn("distance", F.when(F.col("mu").isNotNull(), _distance()))
+    named = scratch.keep(groups.select("gs", "g").join(params, "g").select("gs", "mu", "inverse", "det"), "named")  # a table, so that its true size decides the join
+    found = stats.join(named, "gs", "left").withColumn("distance", F.when(F.col("mu").isNotNull(), _distance()))
     return found.withColumn("kept", ~F.col("base_failed") & F.coalesce(F.col("distance") <= CUT, F.lit(False)))
 
 
