@@ -322,14 +322,14 @@ def top_k_open(spark, d):
     return search._taken(opened).select(F.col("seq").alias("o_orderkey"))
 
 
-@query("WITH p AS (SELECT o_custkey AS c, list_sort(list(DISTINCT o_orderpriority)) AS x FROM orders GROUP BY o_custkey), k AS (SELECT x, min(c) AS old FROM p WHERE c % 4 = 0 GROUP BY x) SELECT array_to_string(x, ',') AS packed, min(c) AS first_customer, CAST(count(*) AS BIGINT) AS n, coalesce(min(old), -1) AS old FROM p LEFT JOIN k USING (x) GROUP BY x")
+@query("WITH p AS (SELECT o_custkey AS c, list_sort(list(DISTINCT o_orderpriority)) AS x FROM orders GROUP BY o_custkey), f AS (SELECT o_custkey AS c, list_sort(list(DISTINCT o_orderpriority)) AS x FROM orders WHERE o_orderstatus = 'F' GROUP BY o_custkey), k AS (SELECT x, min(c) AS old FROM f GROUP BY x) SELECT array_to_string(x, ',') AS packed, min(c) AS first_customer, CAST(count(*) AS BIGINT) AS n, coalesce(min(old), -1) AS old FROM p LEFT JOIN k USING (x) GROUP BY x")
 def dedup_visited(spark, d):
-    """All customers' sets of priorities as databases, looked up among the databases known, here every fourth customer's."""
-    kinds = table(spark, d, "orders").select("o_custkey", "o_orderpriority").distinct()
+    """All customers' sets of priorities as databases, looked up among the databases known: those of the finished orders alone."""
+    orders = table(spark, d, "orders")
     atom = F.struct(F.lit(0).alias("p"), F.array(F.substring("o_orderpriority", 1, 1).cast("int")).alias("a")).cast(ATOM)
-    names = kinds.groupBy("o_custkey").agg(F.array_sort(F.collect_set(atom)).alias("atoms"), F.array_join(F.array_sort(F.collect_set("o_orderpriority")), ",").alias("packed")).withColumn("n_objects", F.lit(0))
-    moves = names.groupBy("atoms", "n_objects", "packed").agg(F.min("o_custkey").alias("first_customer"), F.count("*").alias("n"))
-    known = names.where("o_custkey % 4 = 0").select("atoms", "n_objects", F.col("o_custkey").alias("state"), F.lit(0).alias("g"))
+    names = _states(orders, "o_custkey", atom).join(orders.groupBy(F.col("o_custkey").alias("state")).agg(F.array_join(F.array_sort(F.collect_set("o_orderpriority")), ",").alias("packed")), "state")
+    moves = names.groupBy("atoms", "n_objects", "packed").agg(F.min("state").alias("first_customer"), F.count("*").alias("n"))
+    known = _states(orders.where("o_orderstatus = 'F'"), "o_custkey", atom).select("atoms", "n_objects", "state", F.lit(0).alias("g"))
     return Search(spark, SHIP, search="bfs")._looked_up(moves, known).select("packed", "first_customer", "n", F.coalesce("old", F.lit(-1)).alias("old"))
 
 
@@ -344,13 +344,15 @@ def atom_dictionary(spark, d):
 def type_closure(spark, d):
     up = table(spark, d, "nation").select(F.concat(F.lit("n"), "n_nationkey").alias("t"), F.concat(F.lit("r"), "n_regionkey").alias("s")).unionByName(table(spark, d, "region").select(F.concat(F.lit("r"), "r_regionkey").alias("t"), F.lit("object").alias("s"))).distinct()
     tables = Tables(spark, "types")
-    closure = new = tables.keep(up)
+    new = tables.keep(up)
+    closure, turn = tables.append("closure", new, 0), 0
     while True:
+        turn += 1
         step = new.alias("a").join(up.alias("b"), F.col("a.s") == F.col("b.t")).select("a.t", "b.s").distinct()
         new = tables.keep(step.join(closure, ["t", "s"], "left_anti"))
         if new.isEmpty():
             return closure
-        closure = closure.unionByName(new)
+        closure = tables.append("closure", new, turn)
 
 
 @query("SELECT n_nationkey FROM nation WHERE NOT EXISTS (SELECT 1 FROM supplier WHERE s_nationkey = n_nationkey AND s_acctbal > 9000)")
@@ -433,20 +435,6 @@ def plan_lineage(spark, d):
         found = found.unionByName(at)
 
 
-@query("WITH RECURSIVE p AS (SELECT l_orderkey AS k, l_partkey AS part FROM lineitem), need AS (SELECT DISTINCT part FROM p WHERE k = (SELECT min(l_orderkey) FROM lineitem)), r AS (SELECT part, 0 AS k FROM need UNION SELECT part // 2, k + 1 FROM r WHERE part > 0 AND k < 40) SELECT DISTINCT part FROM r")
-def backchain_useful(spark, d):
-    """Facts (parts) on the derivations of a goal (an order's parts), a part being derived from half its key."""
-    line, tables = table(spark, d, "lineitem").select("l_orderkey", "l_partkey"), Tables(spark, "useful")
-    goal = line.agg(F.min("l_orderkey").alias("l_orderkey"))
-    found = new = tables.keep(line.join(goal, "l_orderkey").select(F.col("l_partkey").alias("part")).distinct())
-    while True:
-        body = new.where("part > 0").select(F.floor(F.col("part") / 2).alias("part")).distinct()
-        new = tables.keep(body.join(found, "part", "left_anti"))
-        if new.isEmpty():
-            return found
-        found = found.unionByName(new)
-
-
 @query("SELECT s_nationkey, CAST(sum(CAST('0x' || substr(md5(CAST(s_suppkey AS VARCHAR)), 1, 8) AS BIGINT)) AS BIGINT) AS digest, CAST(count(*) AS BIGINT) AS n FROM (SELECT DISTINCT s_nationkey, s_suppkey FROM supplier) GROUP BY s_nationkey")
 def relation_digest(spark, d):
     """Order-independent digest of a relation: the sum of its rows' hashes."""
