@@ -8,25 +8,36 @@ changed input of a rule, and provenance changes on strict decrease only, so that
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..plans import conjunctive as cq
-from ..plans.ir import Const, Task, Var
+from ..plans.ir import Const, Var
 from ..scratch import Tables
 from .states import StateSpace, literal_atom
 
-COMBINE = {"sum": lambda a, b: a + b, "max": lambda a, b: F.greatest(a, b)}
+#: How the costs of a body combine in SQL, by name.
+COMBINE = {"sum": " + ".join, "max": lambda costs: f"greatest({', '.join(costs)})" if len(costs) > 1 else costs[0]}
 #: (cost, op, binding, body): how a fact was reached; op is -1 for facts of the state itself.
-WHY = "struct<cost: int, op: int, binding: array<int>, body: array<struct<p: int, a: array<int>>>>"
+BODY = "array<struct<p: int, a: array<int>>>"
+WHY = f"struct<cost: int, op: int, binding: array<int>, body: {BODY}>"
+
+
+def _ints(terms: list[str]) -> str:
+    return f"array({', '.join(terms)})" if terms else "cast(array() AS array<int>)"
 
 
 class Relaxation:
+    """The rules are SQL text, made once; a round is one statement over the facts known and the static facts.
+
+    The static facts, which no rule derives, are written once, a folder for each predicate, and every rule reads those of its predicates."""
+
     def __init__(self, space: StateSpace, combine: str = "sum", tables: Tables | None = None):
-        self.space, self.task, self.combine = space, space.task, COMBINE[combine]
+        self.space, self.task, self.combine = space, space.task, combine
         self.tables = tables or Tables(space.spark, "relaxation")
+        self.static, self.chains = None, 0
+        relevant = self._relevant()
+        #: (predicate of the atom that takes the changed facts; None where all of the body is static, SQL of the heads)
+        self.rules = [rule for op, action in enumerate(space.actions) for rule in self._statements(op, action, relevant)]
 
     def _relevant(self) -> set[int]:
         """Predicates from which a goal predicate can be reached backwards; rules for others are dropped."""
@@ -41,71 +52,61 @@ class Relaxation:
                     wanted |= more
         return wanted
 
-    def _body(self, action, facts: DataFrame, changed: DataFrame, place: int) -> DataFrame:
-        """(state, v.., cost): the action's body with the fluent atom at `place` taken from the changed facts."""
+    def _rows(self, atom, changed: bool) -> str:
+        """SELECT of an atom's rows: a column per variable, with the state and the cost of a fluent one."""
+        fluent = atom.pred not in self.task.static
+        place = {t: k for k, t in reversed(list(enumerate(atom.args)))}
+        tests = [f"p = {atom.pred}"] + ["fell"] * changed
+        tests += [f"get(a, {k}) = {t.value}" if isinstance(t, Const) else f"get(a, {k}) = get(a, {place[t]})" for k, t in enumerate(atom.args) if isinstance(t, Const) or place[t] != k]
+        columns = ["state", "why.cost AS cost"] * fluent + [f"get(a, {place[v]}) AS {v.column}" for v in sorted(atom.variables)]
+        return f"SELECT {'' if fluent else 'DISTINCT '}{', '.join(columns)} FROM {'{known}' if fluent else '{static}'} WHERE {' AND '.join(tests)}"
+
+    def _statements(self, op: int, action, relevant: set[int]):
+        """One SELECT (state, p, a, why) per fluent atom of the body, that atom's facts being the changed ones."""
+        adds = [e for e in action.adds if e.pred in relevant and not e.variables & set(action.fresh)]
+        if not adds:
+            return
         fluent = [a for a in action.atoms if a.pred not in self.task.static]
         static = [a for a in action.atoms if a.pred in self.task.static and a.variables]
-        frame = None
-        order = ([fluent[place]] if fluent else []) + [a for k, a in enumerate(fluent) if k != place] + static
-        left = list(order)
-        while left:
-            bound = set(frame.columns) if frame is not None else set()
-            nxt = left[0] if frame is None else max(left, key=lambda a: (len({v.column for v in a.variables} & bound), a.pred not in self.task.static))
-            left.remove(nxt)
-            if nxt.pred in self.task.static:
-                table = self.space._scan(self.space.static, nxt, None).frame
-            else:
-                source = changed if frame is None else facts
-                rows = source.where(F.col("p") == nxt.pred).select("state", F.col("cost").alias("c1"), *[F.get("a", F.lit(k)).alias(f"x{k}") for k in range(len(nxt.args))])
-                tests = [F.col(f"x{k}") == t.value for k, t in enumerate(nxt.args) if isinstance(t, Const)]
-                tests += [F.col(f"x{k}") == F.col(f"x{nxt.args.index(t)}") for k, t in enumerate(nxt.args) if isinstance(t, Var) and nxt.args.index(t) < k]
-                for t in tests:
-                    rows = rows.where(t)
-                table = rows.select("state", "c1", *[F.col(f"x{nxt.args.index(v)}").alias(v.column) for v in sorted(nxt.variables)])
-            if frame is None:
-                frame = table.withColumnRenamed("c1", "cost")
-            else:
-                frame = cq.natural_join(frame, table)
-                if "c1" in frame.columns:
-                    frame = frame.withColumn("cost", self.combine(F.col("cost"), F.col("c1"))).drop("c1")
-        return frame
+        for start in fluent or [None]:
+            left = [a for a in fluent if a is not start] + static
+            frm, at = (f"({self._rows(start, True)}) t0", {v: f"t0.{v.column}" for v in start.variables}) if start else ("{states} t0", {})
+            costs, n = ["t0.cost"] if start else ["0"], 0
+            while left:  # those that share most with what is bound; static ones first among equals
+                atom = max(left, key=lambda a: (len(a.variables & at.keys()) + (a.pred not in self.task.static), a.pred in self.task.static))
+                left.remove(atom)
+                n += 1
+                on = [f"{at[v]} = t{n}.{v.column}" for v in sorted(atom.variables & at.keys())]
+                if atom.pred not in self.task.static:
+                    on.append(f"t0.state = t{n}.state")
+                    costs.append(f"t{n}.cost")
+                frm += f" JOIN ({self._rows(atom, False)}) t{n} ON {' AND '.join(on)}" if on else f" CROSS JOIN ({self._rows(atom, False)}) t{n}"
+                at.update({v: f"t{n}.{v.column}" for v in atom.variables - at.keys()})
+            fact = lambda x: f"named_struct('p', {x.pred}, 'a', {_ints([str(t.value) if isinstance(t, Const) else at[t] for t in x.args])})"
+            binding = _ints([at[Var(k)] for k in range(action.arity)])
+            body = f"array({', '.join(map(fact, fluent))})" if fluent else f"cast(array() AS {BODY})"
+            why = f"named_struct('cost', cast({COMBINE[self.combine](costs)} + {action.cost} AS int), 'op', {op}, 'binding', {binding}, 'body', {body})"
+            yield start.pred if start else None, f"SELECT state, x.p, x.a, why FROM (SELECT t0.state, {why} AS why, explode(array({', '.join(map(fact, adds))})) AS x FROM {frm})"
 
     def fixpoint(self, states: DataFrame) -> DataFrame:
         """(state, p, a, why): all relaxed-reachable fluent facts with their least cost and its derivation."""
-        start = self.space.facts(states)
-        none = F.array().cast("array<struct<p: int, a: array<int>>>")
-        why = F.struct(F.lit(0).alias("cost"), F.lit(-1).alias("op"), F.array().cast("array<int>").alias("binding"), none.alias("body"))
-        known = self.tables.keep(start.select("state", "p", "a", why.alias("why")))
-        changed, first, moved = known, True, None
-        relevant = self._relevant()
-        rules = [(k, a) for k, a in enumerate(self.space.actions) if any(e.pred in relevant for e in a.adds)]
+        if self.static is None:
+            self.static = self.tables.by_predicate(self.space.static)
+        why = F.expr(f"cast(named_struct('cost', 0, 'op', -1, 'binding', array(), 'body', array()) AS {WHY})")
+        known = self.tables.keep(self.space.facts(states).select("state", "p", "a", why.alias("why"), F.lit(True).alias("fell")))
+        moved, spent = None, None
         while True:
-            facts, delta = (x.select("state", "p", "a", F.col("why.cost").alias("cost")) for x in (known, changed))
-            heads = []
-            for op, action in rules:
-                fluent = [a for a in action.atoms if a.pred not in self.task.static]
-                bodies = [self._body(action, facts, delta, k) for k, x in enumerate(fluent) if moved is None or x.pred in moved]
-                if not fluent and first:
-                    free = self._body(action, facts, delta, 0)
-                    free = states.select("state").crossJoin(free) if free is not None else states.select("state")
-                    bodies = [free.withColumn("cost", F.lit(0))]
-                for body in bodies:
-                    binding = F.array(*[F.col(f"v{i}") for i in range(action.arity)]).cast("array<int>") if action.arity else F.array().cast("array<int>")
-                    used = F.array(*[literal_atom(a) for a in fluent]) if fluent else none
-                    reach = F.struct((F.col("cost") + action.cost).cast("int").alias("cost"), F.lit(op).alias("op"), binding.alias("binding"), used.alias("body"))
-                    adds = [e for e in action.adds if e.pred in relevant and not e.variables & set(action.fresh)]
-                    if adds:
-                        heads.append(body.select("state", reach.alias("why"), F.explode(F.array(*[literal_atom(e) for e in adds])).alias("x")).select("state", F.col("x.p").alias("p"), F.col("x.a").alias("a"), "why"))
+            heads = [sql for pred, sql in self.rules if moved is None or pred in moved]
             if not heads:
-                return known
-            best = reduce(DataFrame.unionByName, heads).groupBy("state", "p", "a").agg(F.min("why").alias("new"))
-            both = known.join(best, ["state", "p", "a"], "full")
-            better = F.col("why").isNull() | (F.col("new.cost") < F.col("why.cost"))
-            merged = self.tables.keep(both.select("state", "p", "a", F.when(F.col("new").isNotNull() & better, F.col("new")).otherwise(F.col("why")).alias("why"), (F.col("new").isNotNull() & better).alias("fell")))
-            changed, known, first = merged.where("fell").drop("fell"), merged.drop("fell"), False
-            moved = {r.p for r in changed.select("p").distinct().collect()}  # predicates: as many as the task names
+                return known.drop("fell")
+            better = "new IS NOT NULL AND (why IS NULL OR new.cost < why.cost)"
+            best = f"SELECT state, p, a, min(why) AS new FROM ({' UNION ALL '.join(heads)}) GROUP BY state, p, a"
+            merged = f"SELECT state, p, a, if({better}, new, why) AS why, {better} AS fell FROM (SELECT state, p, a, why FROM {{known}}) FULL JOIN ({best}) USING (state, p, a)"
+            known, spent = self.tables.keep(self.space.spark.sql(merged, known=known, static=self.static, states=states)), known
+            self.tables.drop(spent)
+            moved = {r.p for r in known.where("fell").select("p").distinct().collect()}  # predicates: as many as the task names
             if not moved:
-                return known
+                return known.drop("fell")
 
     def goal_costs(self, states: DataFrame, reached: DataFrame) -> DataFrame:
         """(state, h): the goal's cost per state; null where it can't be reached. Negated goals are relaxed away."""
@@ -115,7 +116,7 @@ class Relaxation:
         table = F.array(*[literal_atom(g) for g in goals])
         wanted = states.select("state", F.explode(table).alias("x")).select("state", F.col("x.p").alias("p"), F.col("x.a").alias("a"))
         costs = wanted.join(reached.select("state", "p", "a", F.col("why.cost").alias("c")), ["state", "p", "a"], "left")
-        fold = F.sum("c") if self.combine is COMBINE["sum"] else F.max("c")
+        fold = F.sum("c") if self.combine == "sum" else F.max("c")
         return costs.groupBy("state").agg(F.when(F.count("c") == F.count("*"), fold).cast("int").alias("h"))
 
     def backchain(self, states: DataFrame, reached: DataFrame) -> DataFrame:
@@ -124,15 +125,18 @@ class Relaxation:
         if not goals:
             return reached.limit(0)
         table = F.array(*[literal_atom(g) for g in goals])
-        new = states.select("state", F.explode(table).alias("x")).select("state", F.col("x.p").alias("p"), F.col("x.a").alias("a")).distinct()
-        found = None
+        wanted = states.select("state", F.explode(table).alias("x"))
+        self.chains += 1
+        name, turn, found = f"chain{self.chains}", 0, None
         while True:
-            step = reached.join(new, ["state", "p", "a"], "left_semi")
-            found = self.tables.keep(step if found is None else found.unionByName(step))
-            body = step.select("state", F.explode("why.body").alias("x")).select("state", F.col("x.p").alias("p"), F.col("x.a").alias("a")).distinct()
-            new = self.tables.keep(body.join(found, ["state", "p", "a"], "left_anti"))
-            if new.isEmpty():
+            step = reached.join(wanted.select("state", "x.p", "x.a").distinct(), ["state", "p", "a"], "left_semi")
+            if found is not None:
+                step = step.join(found, ["state", "p", "a"], "left_anti")
+            found = self.tables.append(name, step, turn)
+            last, turn = self.tables.part(name, turn), turn + 1
+            if last.isEmpty():
                 return found
+            wanted = last.selectExpr("state", "explode(why.body) AS x")
 
 
 class Heuristic:

@@ -37,6 +37,17 @@ class Tables:
     def appended(self, name: str) -> DataFrame:
         return self.spark.read.schema(self.schemas[name]).parquet(f"{self.root}/{name}").select(*self.schemas[name].names)
 
+    def part(self, name: str, turn: int) -> DataFrame:
+        """What append() added in one round."""
+        return self.spark.read.schema(self.schemas[name]).parquet(f"{self.root}/{name}/turn={turn}")
+
+    def by_predicate(self, facts: DataFrame) -> DataFrame:
+        """Facts (p, a) written once, a folder for each predicate, so that a scan for one predicate reads its rows only."""
+        self.n += 1
+        path = f"{self.root}/{self.n:05d}"
+        facts.select("p", "a").write.partitionBy("p").parquet(path)
+        return self.spark.read.schema("a array<int>, p int").parquet(path).select("p", "a")
+
     def drop(self, df: DataFrame) -> None:
         if path := getattr(df, "kept_at", None):
             where = self.spark._jvm.org.apache.hadoop.fs.Path(path)
