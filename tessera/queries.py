@@ -9,13 +9,15 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .operators import novelty as nov
+from .operators.analysis import argument_candidates
 from .operators.datalog import Heuristic, Relaxation
-from .operators.search import PLAN_FOUND, Search, solve
+from .operators.search import PLAN_FOUND, Search, solve, validate
 from .operators.states import ATOM, ATOMS, StateSpace
 from .plans import conjunctive as cq
 from .plans.ir import Atom, Comparison, Const, Query, Var
 from .scratch import Tables
 from .session import table
+from .sources import catalog
 from .sources.pddl import parse_task
 
 QUERIES: dict = {}
@@ -314,6 +316,74 @@ def search_costs(spark, d):
     return spark.createDataFrame([("astar", found["astar"].cost), ("bfs", len(found["bfs"].plan))], "search string, n long")
 
 
+#: Searches that expand by different queues, with an evaluator each.
+TREE_SEARCHES = {"gbfs": "goalcount", "lazy": "goalcount", "bfws1": "blind", "iw1": "blind", "dq-bfws1-rx": "blind", "alt-bfws1": "add"}
+
+
+@query("WITH RECURSIVE r AS (SELECT max(n_nationkey) AS x, 0 AS cost, 0 AS steps FROM nation UNION ALL SELECT x // 5, cost + 1 + x % 3, steps + 1 FROM r WHERE x > 0) SELECT s.search, CAST(max(cost) AS BIGINT) AS cost, CAST(max(steps) AS BIGINT) AS steps, TRUE AS valid FROM r, (VALUES " + ", ".join(f"('{n}')" for n in TREE_SEARCHES) + ") s(search) GROUP BY s.search")
+def tree_searches(spark, d):
+    """The way from nation 0 to the last one in a tree, where each search must find the only one, and whether the plan holds step by step."""
+    keys = sorted(r[0] for r in table(spark, d, "nation").select("n_nationkey").collect())
+    acts = "".join(f"(:action go{c} :parameters (?a ?b) :precondition (and (at ?a) (road{c} ?a ?b)) :effect (and (not (at ?a)) (at ?b) (increase (total-cost) {c})))" for c in (1, 2, 3))
+    domain = f"(define (domain tree) (:predicates (at ?x) (road1 ?a ?b) (road2 ?a ?b) (road3 ?a ?b)) (:functions (total-cost) - number) {acts})"
+    facts = " ".join(f"(road{1 + b % 3} n{b // 5} n{b})" for b in keys if b > 0)
+    task = parse_task(domain, f"(define (problem way) (:domain tree) (:objects {' '.join(f'n{k}' for k in keys)}) (:init (at n0) {facts}) (:goal (at n{keys[-1]})))")
+    rows = []
+    for name, evaluator in TREE_SEARCHES.items():
+        found = solve(spark, task, search=name, evaluator=evaluator, generator="join")
+        rows.append((name, found.cost, len(found.plan), found.code == PLAN_FOUND and validate(spark, task, found.steps)))
+    return spark.createDataFrame(rows, "search string, cost long, steps long, valid boolean")
+
+
+def _geography(spark, d):
+    """A typed task written from the nations and regions, through the front end: an envoy travels within a region and may move to the next."""
+    rows = table(spark, d, "nation").select("n_nationkey", "n_regionkey").collect()
+    regions = sorted({r[1] for r in rows})
+    domain = """(define (domain geography) (:requirements :typing) (:types place envoy - object nation region - place)
+(:predicates (within ?n - nation ?r - region) (after ?a ?b - region) (at ?e - envoy ?n - nation) (seen ?p - place))
+(:action tour :parameters (?e - envoy ?a ?b - nation ?r - region) :precondition (and (at ?e ?a) (within ?a ?r) (within ?b ?r)) :effect (and (not (at ?e ?a)) (at ?e ?b) (seen ?r)))
+(:action cross :parameters (?e - envoy ?a ?b - nation ?r ?s - region) :precondition (and (at ?e ?a) (within ?a ?r) (after ?r ?s) (within ?b ?s)) :effect (and (not (at ?e ?a)) (at ?e ?b) (seen ?b))))"""
+    objects = f"{' '.join(f'n{n}' for n, _ in rows)} - nation {' '.join(f'r{r}' for r in regions)} - region ann - envoy"
+    facts = " ".join(f"(within n{n} r{r})" for n, r in rows) + " " + " ".join(f"(after r{r} r{r + 1})" for r in regions[:-1])
+    return parse_task(domain, f"(define (problem visit) (:domain geography) (:objects {objects}) (:init (at ann n0) {facts}) (:goal (seen r{regions[-1]})))")
+
+
+@query("SELECT p AS predicate, a AS facts_of, CAST(count(*) AS BIGINT) AS n FROM (SELECT 'within' AS p, 'r' || n_regionkey AS a FROM nation UNION ALL SELECT 'after', 'r' || (r_regionkey + 1) FROM region WHERE r_regionkey < (SELECT max(r_regionkey) FROM region) UNION ALL SELECT 'at', 'n0') GROUP BY p, a")
+def stored_task(spark, d):
+    """The task's facts after it was parsed, stored as tables and read again: how many of each predicate name each last argument."""
+    path = Tables(spark, "task").root
+    catalog.save(spark, _geography(spark, d), path)
+    tables = catalog.task_tables(spark, catalog.load(spark, path))
+    facts = tables["facts"].join(tables["predicates"].select("p", F.col("name").alias("predicate")), "p").where("predicate in ('within', 'after', 'at')")
+    last = facts.select("predicate", F.element_at("a", -1).alias("o")).join(tables["objects"].select("o", F.col("name").alias("facts_of")), "o")
+    return last.groupBy("predicate", "facts_of").agg(F.count("*").alias("n"))
+
+
+@query("SELECT 'at' AS predicate, 'ann n' || n_nationkey AS fact, n_nationkey = 0 AS holds FROM nation UNION ALL SELECT 'seen', 'n' || n_nationkey, FALSE FROM nation WHERE n_regionkey > (SELECT min(r_regionkey) FROM region) UNION ALL SELECT 'seen', 'r' || r_regionkey, FALSE FROM region WHERE r_regionkey IN (SELECT n_regionkey FROM nation)")
+def ground_facts(spark, d):
+    """The facts that the arguments' candidates allow in the first state, with those that hold."""
+    task = _geography(spark, d)
+    rows = catalog.ground_state(spark, task, argument_candidates(spark, task))
+    tables = catalog.task_tables(spark, task)
+    named = rows.select("p", "holds", "a", F.posexplode("a").alias("k", "o")).join(tables["objects"].select("o", "name"), "o")
+    fact = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "name"))), lambda x: x["name"]), " ")
+    return named.groupBy("a", "p", "holds").agg(fact.alias("fact")).join(tables["predicates"].select("p", F.col("name").alias("predicate")), "p").select("predicate", "fact", "holds")
+
+
+@query("SELECT n_regionkey AS region, CAST(min(n_nationkey) AS BIGINT) AS least, CAST(count(*) AS BIGINT) AS moves FROM nation WHERE n_regionkey IN (SELECT n_regionkey FROM nation WHERE n_nationkey = 0) OR n_regionkey = 1 + (SELECT n_regionkey FROM nation WHERE n_nationkey = 0) GROUP BY n_regionkey")
+def first_moves(spark, d):
+    """The moves of the first state by every kind of generator, which agree: per region that is reached the least nation and the number of moves."""
+    task = _geography(spark, d)
+    found = None
+    for generator in {f: name for name, f in cq.GENERATORS.items()}.values():  # names of one function once
+        space = StateSpace(spark, task, generator)
+        moves = space.transitions(space.initial()).select(F.filter("adds", lambda x: x["p"] == task.number("at"))[0]["a"][1].alias("o")).distinct()
+        found = moves if found is None else found.intersect(moves)
+    number = F.substring("name", 2, 9).try_cast("long").alias("n_nationkey")
+    nations = found.join(catalog.task_tables(spark, task)["objects"].select("o", number), "o").join(table(spark, d, "nation").select("n_nationkey", "n_regionkey"), "n_nationkey")
+    return nations.groupBy(F.col("n_regionkey").alias("region")).agg(F.min("n_nationkey").cast("long").alias("least"), F.count("*").alias("moves"))
+
+
 @query("SELECT o_orderkey FROM orders ORDER BY CAST(floor(o_totalprice / 1000) AS BIGINT), o_custkey, o_orderkey LIMIT 100")
 def top_k_open(spark, d):
     """The 100 rows that a greedy search takes from an open list of all orders: by h, then g, then place."""
