@@ -1,4 +1,4 @@
-"""Tables that cut the lineage of iterative queries, in the folder that the cluster shares."""
+"""Tables that cut the lineage of iterative queries, in the folder that the cluster shares. Only a session on one machine may go without one."""
 
 from __future__ import annotations
 
@@ -13,6 +13,8 @@ class Tables:
         self.spark = spark
         base = spark.conf.get("spark.checkpoint.dir", None)
         if not base:
+            if not spark.sparkContext.master.startswith("local"):
+                raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
             base = "file://" + tempfile.mkdtemp(prefix="tessera-")
             spark.conf.set("spark.checkpoint.dir", base)
         self.root = f"{base.rstrip('/')}/tessera-{label}-{uuid.uuid4().hex}"
