@@ -11,9 +11,12 @@ CHECKPOINT_CONF = "spark.checkpoint.dir"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; only where that is unset, as in tests, one of our own."""
+    """The folder named by spark.checkpoint.dir; only where that is unset, as in tests, one of our own. Sessions on several
+    machines need the setting: a folder of one machine is not seen by the others."""
     found = spark.conf.get(CHECKPOINT_CONF, None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError(f"set {CHECKPOINT_CONF} to a folder that all machines share")
         found = "file://" + tempfile.mkdtemp(prefix="tessera-")
         spark.conf.set(CHECKPOINT_CONF, found)
     return found.rstrip("/")
