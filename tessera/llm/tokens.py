@@ -13,7 +13,7 @@ import regex
 #: Texts of these characters are split here; others, and texts with a special token's string, go to the tokenizer whole.
 #: In this range lower-casing, normal form C, white space and the letter and number classes agree everywhere.
 _PLAIN = re.compile("[^\t-\r -~¡-įı-ſ–—‘’“”…]")
-REMEMBERED = 400_000
+REMEMBERED = 800_000
 
 
 #: Longer words go to the tokenizer.
@@ -149,15 +149,18 @@ class WordTokenizer:
     def _raw(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self._encode(texts, add_special_tokens=False)]
 
-    def _runs(self, runs: list[str]) -> list[bytes]:
-        split = [(run,) if run.isalpha() else (run[:-1], run[-1]) if run[:-1].isalpha() and run[-1] in ",.;:!?" else self.words.findall(run) for run in runs]
-        words = list(set(chain.from_iterable(split)))
+    def _learn(self, runs: set[str]) -> None:
+        """Remember the ids of runs and of the words in them. A word's ids don't depend on what it stands in."""
+        known = self.known
+        mixed = [run for run in runs if not run.isalpha()]
+        split = [(run[:-1], run[-1]) if run[-1] in ",.;:!?" and run[:-1].isalpha() else self.words.findall(run) for run in mixed]
+        words = [*runs.difference(mixed).union(chain.from_iterable(split)).difference(known)]
         short = [w for w in words if len(w) <= LONGEST]
-        found = {w: self._raw([w])[0] for w in words if len(w) > LONGEST}
+        known.update((w, self._raw([w])[0]) for w in words if len(w) > LONGEST)
         for k in range(0, len(short), 50_000):
             part = short[k : k + 50_000]
-            found.update(zip(part, self.merges.encode(part)))
-        return [found[words[0]] if len(words) == 1 else b"".join([found[w] for w in words]) for words in split]
+            known.update(zip(part, self.merges.encode(part)))
+        known.update((run, known[of[0]] + known[of[1]] if len(of) == 2 else b"".join([known[w] for w in of])) for run, of in zip(mixed, split))
 
     def ids(self, texts: list[str]) -> list[bytes]:
         known = self.known
@@ -165,7 +168,6 @@ class WordTokenizer:
             known.clear()
         plain = self.within_words
         split = [None if not plain or _PLAIN.search(t) or any(s in t for s in self.special) else t.lower().split() for t in texts]
-        new = list(set(chain.from_iterable(filter(None, split))).difference(known))
-        if new:
-            known.update(zip(new, self._runs(new)))
+        if new := set(chain.from_iterable(filter(None, split))).difference(known):
+            self._learn(new)
         return [self._raw([t])[0] if words is None else b"".join(map(known.__getitem__, words)) for t, words in zip(texts, split)]
