@@ -11,13 +11,15 @@ threshold. Steps, none of which puts all the rows of a key into one task or emit
    than the overlap that the threshold asks for has no partner.
 3. A pair links when twice its overlap, times 100 + percent, reaches G + G' (see _level). The smaller of the two needs a
    short prefix, the larger a long one. With l - 1 shingles more in both, a pair must share l of them. Each class takes the l
-   of least estimated cost: frequencies scanned plus verifications, the latter at most sum(frequency - 1) / l; a pair
-   needs min(l, l') common prefix shingles before verification.
+   of least estimated cost: frequencies scanned plus verifications, the latter at most sum(frequency - 1) / l, and for a shingle of more than BUCKET
+   the differences that a cluster writes; a pair needs min(l, l') common prefix shingles before verification. In a bucket only those count
+   for whom the bounds of g leave a partner there.
 4. Prefix shingles that few classes share give pairs at once. The classes of a bucket of more than BUCKET become a cluster:
    each is described by its difference from the cluster's centre, the set of what more than half of its members hold, and the differences are joined by
    the same rule one level on: the symmetric difference of two classes is that of their differences, whatever the centre. What the
    copies of a group have in common is gone from the differences. Members so close to the centre that they must link with the
    member nearest to it are linked with that one only, and meet only such others as they can reach.
+   From the first level, hubs that share more than half of their classes with a lesser one's are one, so that a group is described once and not once a hub.
 5. No element is in the differences of more than half of a cluster's members, so that the buckets of a cluster have half its size at most.
    Buckets with one hub make one cluster of the next level, unless that would hold over MOST_OF of the cluster; then each is its own. Sizes thus fall at every
    level and the rounds end by themselves, without a level at which all pairs are listed. No link is lost that joins components.
@@ -254,23 +256,29 @@ class JaccardJoin:
         partner_f = F.least(F.col("top_f").cast("double"), F.col("n") * F.lit((100 - self.percent) * 100.0 / self.percent))
         size = F.size("d")
         near = F.coalesce(F.col("g") + F.col("best_g") <= 0, F.lit(False))
-        short = F.when(F.col("g") <= 0, size).otherwise(F.floor(F.col("f") / w).cast("int") + 1 - F.col("u"))
+        # A near one meets only such with g' > -best_g, so that it shares more than (g - best_g) / 2 w with any of them.
+        short = F.when(near, size - F.floor((F.col("g") - F.col("best_g")) / (2 * w)).cast("int")).otherwise(F.floor(F.col("f") / w).cast("int") + 1 - F.col("u"))
         long = F.when(near, short).otherwise(F.greatest(short, F.floor((F.col("f") + partner_f) / w).cast("int") + 1 - F.col("u")))
         most = F.greatest(F.lit(1), F.ceil((F.col("g") - partner_f) / w).cast("int"))
         # The overlap is |d| at most: what a near one needs to reach any that is not, and the others any at all.
         reach = 2 * w * size - F.col("g")
         able = F.when(near, reach > -F.col("best_g")).otherwise(F.coalesce(reach >= F.col("best_g"), F.lit(True)))
-        state = state.withColumns({"short": short, "long": long, "most": most, "near": near}).where(able & (F.col("long") + F.col("most") > 0))
+        state = state.withColumns({"short": short, "long": long, "most": most, "near": near, "reach": reach}).where(able & (F.col("long") + F.col("most") > 0))
 
         def cost(k: int):
             head = F.slice("d", F.lit(1), F.greatest(F.lit(0), F.least(size, F.col("long") + (k - 1))))
-            scanned = F.aggregate(head, F.lit(0).cast("double"), lambda acc, x: acc + x["df"])
-            return F.when(F.lit(k) <= F.col("most"), F.struct((scanned + VERIFY_COST * (scanned - F.size(head)) / k).alias("cost"), F.lit(k).alias("l")))
+            each = lambda x: F.when(x["df"] > BUCKET, 2.0 * size).otherwise(x["df"] + VERIFY_COST * (x["df"] - 1) / k)  # noqa: E731  in a cluster, two differences are written and no pairs
+            return F.when(F.lit(k) <= F.col("most"), F.struct(F.aggregate(head, F.lit(0).cast("double"), lambda acc, x: acc + each(x)).alias("cost"), F.lit(k).alias("l")))
 
         chosen = state.withColumn("l", F.array_min(F.array_compact(F.array(*[cost(k) for k in range(1, MAX_MULTI + 1)])))["l"])
         head = F.slice("d", F.lit(1), F.greatest(F.lit(0), F.least(size, F.col("long") + F.col("l") - 1)))
-        rows = chosen.select("h", "c", "n", "f", "g", "u", "l", "near", "members", (F.col("short") + F.col("l") - 1).alias("short"), F.posexplode(head).alias("at", "x"))
-        rows = keep(rows.select("h", F.col("x.t").alias("t"), "c", "n", "f", "g", "l", "near", "members", (F.col("at") + F.col("u")).alias("at"), (F.col("at") < F.col("short")).alias("short")), "prefixes")
+        rows = chosen.select("h", "c", "n", "f", "g", "u", "l", "near", "reach", "members", (F.col("short") + F.col("l") - 1).alias("short"), F.posexplode(head).alias("at", "x"))
+        every = keep(rows.select("h", F.col("x.t").alias("t"), "c", "n", "f", "g", "l", "near", "reach", "members", (F.col("at") + F.col("u")).alias("at"), (F.col("at") < F.col("short")).alias("short")), "prefixes")
+        # Two that link have g <= reach of the other. Who finds nobody in a bucket for whom both hold doesn't count there.
+        bounds = every.groupBy("h", "t").agg(F.count("*").alias("all"), F.min("g").alias("low"), F.max("reach").alias("high"), F.min(F.when(~F.col("near"), F.col("g"))).alias("low_far"))
+        rows = _by_key(every, bounds.where("all > 1 and low_far is not null"), ["h", "t"]).where("if(near, reach >= low_far, reach >= low and g <= high)")
+        rows = keep(rows.drop("all", "low", "high", "low_far", "reach"), "able")
+        self.scratch.drop(every)
         buckets = rows.groupBy("h", "t").agg(F.count("*").alias("all"), F.count_if("short").alias("k"), F.count_if(~F.col("near")).alias("far"), F.first("members").alias("members"), F.min(F.when(F.col("short"), F.struct(F.xxhash64("c").alias("o"), "c"))).alias("hub"))
         buckets = keep(buckets.where("all > 1 and k > 0 and far > 0").select("h", "t", "k", "members", F.col("hub.c").alias("hub")), "buckets")
 
@@ -294,9 +302,17 @@ class JaccardJoin:
 
     def _clusters(self, large: DataFrame, first: bool) -> DataFrame:
         """(h2, h, hub, c): the buckets of one hub as one cluster, or each as its own where that would hold over MOST_OF of cluster h.
-        From the first level, where there are no clusters yet, all buckets of a hub are one."""
+        From the first level, where there are no clusters yet, all buckets of a hub are one, and hubs of one group are."""
         if first:
-            return self.scratch.keep(large.select(F.col("hub").alias("h2"), "h", "hub", "c").distinct(), "clusters")
+            # Hubs of one group share most of their members, which need not be described once for each: where more than half of a hub's classes have
+            # one least hub, its buckets go to the cluster of that one.
+            held = self.scratch.keep(large.select("hub", "c").distinct(), "held")
+            least = held.groupBy("c").agg(F.min(F.struct(F.xxhash64("hub").alias("o"), "hub"))["hub"].alias("to"))
+            votes = _by_key(held, least, "c").groupBy("hub", "to").agg(F.count("*").alias("votes"))
+            votes = votes.groupBy("hub").agg(F.sum("votes").alias("held"), F.max(F.struct("votes", "to")).alias("top"))
+            names = votes.select("hub", F.when(2 * F.col("top.votes") > F.col("held"), F.col("top.to")).otherwise(F.col("hub")).alias("h2"))
+            names = self.scratch.keep(_by_key(large.select("h", "t", "hub").distinct(), names, "hub").select("h", "t", "h2"), "names")
+            return self.scratch.keep(_by_key(large, names, ["h", "t"]).select("h2", "h", F.col("h2").alias("hub"), "c").distinct(), "clusters")
         buckets = large.select("h", "t", "hub", "members").distinct()
         held = large.select("h", "hub", "c").distinct().groupBy("h", "hub").agg(F.count("*").alias("held"))
         name = F.when(F.col("held") > MOST_OF * F.col("members"), F.xxhash64("h", "hub", "t")).otherwise(F.xxhash64("h", "hub"))

@@ -103,6 +103,56 @@ def test_jaccard_group_of_near_copies(spark, monkeypatch, k, percent, bucket):
     assert found == linked(rows, k, percent)
 
 
+def test_jaccard_rows_of_a_growing_group(spark, monkeypatch):
+    """A group of near copies four times as large makes 4 to 7 times the rows, not 16 times, and links as plain search does."""
+    monkeypatch.setattr(jaccard_join, "BUCKET", 8)
+    r, made = Random(4), []
+    base = words(r, 80).split()
+    keep = jaccard_join.Scratch.keep
+
+    def spied(self, df, name, *more):
+        out = keep(self, df, name, *more)
+        if name == "from-hub":
+            made.append(out.selectExpr("sum(size(t))").first()[0] or 0)
+        return out
+
+    def near():
+        w = list(base)
+        for k in r.sample(range(80), min(20, int(r.expovariate(0.25)))):
+            w[k] = r.choice((w[k] + ".", w[k] + ",", w[k] + r.choice("abcdefgh"), words(r, 1)))
+        return " ".join(w)
+
+    monkeypatch.setattr(jaccard_join.Scratch, "keep", spied)
+    total = []
+    for n in (300, 1200):
+        made.clear()
+        rows = [(k, near()) for k in range(n)]
+        docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+        found = {x.doc_id: (x.n_shingles, x.component_id) for x in jaccard_join.JaccardJoin(spark).components(docs).collect()}
+        assert found == linked(rows, 5, 80)
+        total.append(sum(made))
+    assert total[0] > 0 and total[1] <= 7 * total[0], total
+
+
+@pytest.mark.parametrize("k,percent,bucket", [(4, 85, 3), (5, 80, 6), (2, 50, 4)])
+def test_jaccard_bridged_groups(spark, monkeypatch, k, percent, bucket):
+    """Groups of several texts of several lengths with a passage in common, cut at either end or edited alike: hubs of one group are one, others not."""
+    monkeypatch.setattr(jaccard_join, "BUCKET", bucket)
+    r = Random(7 * k)
+    passage, bases = words(r, 15).split(), [words(r, n).split() for n in (12, 40, 44, 90)]
+    rows = []
+    for n in range(220):
+        w = list(r.choice(bases))
+        for _ in range(r.choice((0, 1, 1, 2, 4, 7))):
+            at = r.randrange(len(w))
+            w[at] = r.choice((bases[0][at % 12], w[at] + ".", words(r, 1)))
+        w = w[r.choice((0, 0, 1, 3)) : len(w) - r.choice((0, 0, 2, 5))]
+        rows.append((n, " ".join(w + passage if r.random() < 0.5 else w)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    found = {x.doc_id: (x.n_shingles, x.component_id) for x in jaccard_join.JaccardJoin(spark, k, percent).components(docs).collect()}
+    assert found == linked(rows, k, percent)
+
+
 def test_jaccard_ranges_of_an_owner(spark, docs, rows):
     """However little text an owner holds at a time."""
     found = jaccard_join.JaccardJoin(spark, 4, 85, range_bytes=1000).components(docs).collect()
